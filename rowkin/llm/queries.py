@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowkin.llm import bpe, fingerprint, packing, warc
+from rowkin.llm import bpe, extraction, fingerprint, ngram_join, packing, quality, topk, warc
 from rowkin.llm._io import table
 
 
@@ -16,11 +16,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), k=3, over=90, under=100)
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, index = warc.write(table(spark, sf_dir, "pages"))
     return warc.read(folder, index)
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
@@ -34,13 +50,55 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
+    "op4_topk": op4_topk,
+    "op5_quality": op5_quality,
+    "op7_extraction": op7_extraction,
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
     "op10_bpe": op10_bpe,
 }
 
+#: Words of documents as lists, A-Z in lower case.
+LOWER_WORDS = """
+    select doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'
+    ) as w from {docs}
+"""
+
+
+def near_duplicates_sql(docs: str, k: int, over: int, under: int) -> str:
+    """Common table expressions that end in ``component (doc_id, n_shingles, component_id)``."""
+    return f"""
+        words as ({LOWER_WORDS.format(docs=docs)}),
+        grams as (
+            select doc_id, unnest(case
+                when len(w) >= {k} then list_distinct(list_transform(range(1, len(w) - {k} + 2), lambda i: array_to_string(w[i:i + {k - 1}], ' ')))
+                when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g
+            from words
+        ),
+        sizes as (select doc_id, count(*) as n from grams group by doc_id),
+        common as (
+            select a.doc_id as a, b.doc_id as b, count(*) as c
+            from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all
+        ),
+        links as (
+            select c.a, c.b from common c join sizes x on x.doc_id = c.a join sizes y on y.doc_id = c.b
+            where {under} * c.c >= {over} * (x.n + y.n - c.c)
+        ),
+        reach(doc_id, other) as (
+            select doc_id, doc_id from words union select r.doc_id, l.b from reach r join links l on l.a = r.other
+        ),
+        component as (
+            select r.doc_id, coalesce(any_value(s.n), 0) as n_shingles, min(r.other) as component_id
+            from reach r left join sizes s on s.doc_id = r.doc_id group by r.doc_id
+        )
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": f"with recursive {near_duplicates_sql('documents', 3, 90, 100)} select * from component",
     "op2_warc": """
         with p as (
             select page_id, encode(coalesce(html, '')) as payload from pages
@@ -54,4 +112,17 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
         from f
     """,
+    "op4_topk": """
+        with v as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as e
+            from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), s as (
+            select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+            from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+        ), r as (
+            select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s
+        )
+        select query_id, rank, vec_id, score from r where rank <= 10
+    """,
 }
