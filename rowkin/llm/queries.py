@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowkin.llm import bpe, extraction, fingerprint, ngram_join, packing, quality, topk, warc
+from rowkin.llm import bpe, extraction, fingerprint, ngram_join, packing, quality, substring_dedup, topk, warc
 from rowkin.llm._io import table
 
 
@@ -25,6 +25,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(folder, index)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), window=50)
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", k=10)
 
@@ -52,6 +56,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
     "op7_extraction": op7_extraction,
@@ -112,6 +117,26 @@ ORACLE_SQL: dict[str, str] = {
                case when payload_bytes >= 100 and first_id <> page_id then first_id end as refers_to
         from f
     """,
+    "op3_substring_dedup": """
+        with words as (
+            select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents
+        ), windows as (
+            select doc_id, unnest(range(1, len(w) - 48)) as i, w from words where len(w) >= 50
+        ), hashed as (
+            select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h from windows
+        ), firsts as (
+            select *, min(doc_id) over (partition by h) as least from hashed
+        ), covered as (
+            select distinct doc_id, unnest(range(i, i + 50)) as p from firsts where doc_id > least
+        ), places as (
+            select doc_id, unnest(range(1, len(w) + 1)) as p, unnest(w) as word from words
+        ), kept as (
+            select p.doc_id, string_agg(p.word, ' ' order by p.p) as text, count(*) as n
+            from places p anti join covered c on c.doc_id = p.doc_id and c.p = p.p group by p.doc_id
+        )
+        select w.doc_id, len(w.w) as n_words, len(w.w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.text, '')) as kept_sha256
+        from words w left join kept k on k.doc_id = w.doc_id
+    """,
     "op4_topk": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as double)) as e
