@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowkin.llm import bpe, extraction, fingerprint, ngram_join, packing, quality, substring_dedup, topk, warc
+from rowkin.llm import bpe, extraction, fingerprint, language_model, ngram_join, packing, quality, substring_dedup, topk, warc
 from rowkin.llm._io import table
 
 
@@ -37,6 +38,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.score(table(spark, sf_dir, "documents"))
+    return scores.withColumn("log_score", F.round("log_score", 6))
+
+
 def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_topk": op4_topk,
     "op5_quality": op5_quality,
+    "op6_language_model": op6_language_model,
     "op7_extraction": op7_extraction,
     "op8_packing": op8_packing,
     "op9_fingerprint": op9_fingerprint,
@@ -150,4 +157,31 @@ ORACLE_SQL: dict[str, str] = {
         )
         select query_id, rank, vec_id, score from r where rank <= 10
     """,
+    "op6_language_model": f"""
+        with words as ({LOWER_WORDS.format(docs="documents")}),
+        tokens as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as w2, unnest(list_prepend(null, w[:-2])) as w1 from words),
+        uni as (select w2 as w, count(*) as n from tokens group by w2),
+        bi as (select w1, w2, count(*) as n from tokens where w1 is not null group by w1, w2),
+        own_uni as (select doc_id, w2 as w, count(*) as n from tokens group by doc_id, w2),
+        own_bi as (select doc_id, w1, w2, count(*) as n from tokens where w1 is not null group by doc_id, w1, w2),
+        total as (select count(*) as n from tokens),
+        sizes as (select doc_id, len(w) as n from words),
+        seen as (
+            select t.doc_id, t.i, u2.n - o2.n as c2, u1.n - o1.n as c1, coalesce(b.n - ob.n, 0) as c12,
+                   greatest(total.n - s.n, 1) as elsewhere
+            from tokens t join uni u2 on u2.w = t.w2 join own_uni o2 on o2.doc_id = t.doc_id and o2.w = t.w2
+            left join uni u1 on u1.w = t.w1 left join own_uni o1 on o1.doc_id = t.doc_id and o1.w = t.w1
+            left join bi b on b.w1 = t.w1 and b.w2 = t.w2
+            left join own_bi ob on ob.doc_id = t.doc_id and ob.w1 = t.w1 and ob.w2 = t.w2
+            join sizes s on s.doc_id = t.doc_id cross join total
+        ),
+        scored as (
+            select doc_id, sum(case when c12 > 0 then ln(c12 / c1) else ln(greatest(c2, 1) / elsewhere) + (case when i > 1 then ln(0.4) else 0 end) end) as s,
+                   count(*) filter (where c12 = 0 and i > 1) as n_backoff, count(*) filter (where c2 < 1) as n_unseen
+            from seen group by doc_id
+        )
+        select z.doc_id, cast(z.n as bigint) as n_words, round(s.s / z.n, 6) as log_score,
+               coalesce(n_backoff, 0) as n_backoff, coalesce(n_unseen, 0) as n_unseen
+        from sizes z left join scored s on s.doc_id = z.doc_id
+    """,
 }
