@@ -3,10 +3,11 @@
 A repeat of at least ``window`` words is an internal node of the suffix tree whose string depth reaches the window. Only
 suffixes that can lie below such a node are put into trees: every window has one anchor, the 8-word prefix of least hash in
 it, so equal windows have equal anchors, and anchors that stand in one document alone are dropped before any text moves.
-Windows are then partitioned by their anchor's prefix; a prefix under which too many windows gather is lengthened to the
-whole window, where its subtree is a single node and ordinary partial aggregation counts it. Each task builds the subtrees of
-its prefixes level by level: node numbers at depth 1, 2, 4, ... words come from pairs of nodes at half the depth, and leaves
-that are alone leave early. Nodes at full depth that hold several documents are the repeats.
+Windows are then partitioned by their anchor's prefix. Each task builds the subtrees of its prefixes level by level: node
+numbers at depth 1, 2, 4, ... words come from pairs of nodes at half the depth, and leaves that are alone leave early. Nodes at
+full depth that hold several documents are the repeats. A prefix under which too many anchors gather is dealt in chunks that
+fit in memory: each chunk's subtree decides what it can, and only its first document of each node goes on under the longest
+prefix there is, the whole window, where a subtree is one node and a minimum over chunks decides.
 """
 
 from __future__ import annotations
@@ -24,10 +25,8 @@ from rowkin.llm._io import pieces, stage, utf8
 
 WINDOW = 50
 PREFIX = 8
-#: Anchors under one prefix in memory at most; beyond it the prefix is lengthened.
-GROUP = 4096
-#: Words whose subtrees a task builds at once, unless one prefix alone holds more.
-TREE_WORDS = 1 << 20
+#: Words whose subtrees a task builds at once, and anchors (of about 70 words) under one prefix in one chunk.
+TREE_WORDS, GROUP = 1 << 20, 1 << 14
 PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -69,89 +68,78 @@ def _anchored(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id): those whose key stands in two documents or more, and whether over ``most`` rows have it."""
-    names = ["doc_id", "row_mark", "at"]
-    held: list[np.ndarray] = []  # rows of the run of equal keys that may go on
-    held_key, held_rows, several, large = None, 0, False, False
-
-    def out(rows: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*(pa.array(rows[i]) for i in range(3)), pa.array(flag)], [*names, "large"])
+    """Rows sorted by (key, doc_id): those whose key stands in two documents or more, in chunks of ``most`` per key.
 
+    A run of equal keys is held until it ends, or until it is known to be shared and too large for one chunk.
+    """
+    names = ["doc_id", "row_mark", "at"]
+    held = np.zeros((4, 0), np.int64)  # key, doc_id, row_mark, at of the run that may go on
+    gone, first_doc = 0, None  # rows of that run that are out already, and its smallest doc_id
+
+    def out(rows: np.ndarray, nth: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, rows[1:]), pa.array((nth // most).astype(np.int32)), pa.array(large)], [*names, "chunk", "large"])
+
+    def settled(rows: np.ndarray, gone: int, first_doc, ended: bool):
+        """Runs that can be given out of ``rows``; the rest, which begins with the last run unless that has ended."""
+        heads = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
+        sizes = np.diff(np.append(heads, rows.shape[1]))
+        least, greatest = np.minimum.reduceat(rows[1], heads), np.maximum.reduceat(rows[1], heads)
+        before = np.zeros(len(heads), np.int64)
+        if first_doc is not None:
+            before[0], least[0] = gone, min(first_doc, least[0])
+        shared, large = least != greatest, sizes + before > most
+        ready = shared.copy()
+        if not ended:
+            ready[-1] &= large[-1]
+        keep = np.repeat(ready, sizes)
+        nth = np.arange(rows.shape[1]) - np.repeat(heads - before, sizes)
+        given = out(rows[:, keep], nth[keep], np.repeat(large, sizes)[keep])
+        if ready[-1]:
+            return given, rows[:, :0], before[-1] + sizes[-1], least[-1]
+        return given, rows[:, heads[-1] :], before[-1], least[-1] if before[-1] else None
+
+    last_key = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        rows = np.stack([batch.column(c).to_numpy() for c in names])
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        if held_key is not None and key[0] != held_key:
-            if held and several:
-                got = np.concatenate(held, axis=1)
-                yield out(got, np.full(got.shape[1], large))
-            held, held_rows, several, large = [], 0, False, False
-        goes_on = held_key is not None and key[0] == held_key
-        ends = np.append(heads[1:], len(key))
-        first_inner = 1 if goes_on else 0
-        inner = slice(heads[first_inner] if first_inner < len(heads) else len(key), heads[-1])
-        if goes_on:
-            part = rows[:, : ends[0]]
-            several |= bool((part[0] != (held[0][0, 0] if held else part[0, 0])).any()) or bool(held and (held[-1][0] != held[0][0, 0]).any())
-            held.append(part)
-            held_rows += part.shape[1]
-            large |= held_rows > most
-            if len(heads) > 1:
-                if several:
-                    got = np.concatenate(held, axis=1)
-                    yield out(got, np.full(got.shape[1], large))
-                held, held_rows, several, large = [], 0, False, False
-            elif large and several:  # a run too long to hold goes out as it comes; its first row stays for comparison
-                got = np.concatenate(held, axis=1)
-                yield out(got, np.ones(got.shape[1], bool))
-                held = []
-        if inner.stop > inner.start:
-            own = (heads >= inner.start) & (heads < inner.stop)
-            sizes = (ends - heads)[own]
-            docs = rows[0, inner]
-            many = np.minimum.reduceat(docs, heads[own] - inner.start) != np.maximum.reduceat(docs, heads[own] - inner.start)
-            keep = np.repeat(many, sizes)
-            yield out(rows[:, inner][:, keep], np.repeat(sizes > most, sizes)[keep])
-        if not goes_on or len(heads) > 1:
-            part = rows[:, heads[-1] :]
-            held, held_rows = [part], part.shape[1]
-            several, large = bool((part[0] != part[0, 0]).any()), held_rows > most
-        held_key = key[-1]
-    if held and several:
-        got = np.concatenate(held, axis=1)
-        yield out(got, np.full(got.shape[1], large))
-
-
-REGION = "key long, doc_id long, row_mark long, start long, windows long, words string"
-
-
-def _regions(batches: Iterator[pa.RecordBatch], window: int, prefix: int, large: bool) -> Iterator[pa.RecordBatch]:
-    """For each shared anchor its windows and the words they span; for large prefixes one row per window instead."""
+        rows = np.stack([batch.column(c).to_numpy() for c in ["key", *names]])
+        if held.shape[1] == 0 and rows[0, 0] != last_key:
+            gone, first_doc = 0, None
+        elif held.shape[1] and rows[0, 0] != held[0, 0]:
+            yield settled(held, gone, first_doc, True)[0]
+            held, gone, first_doc = held[:, :0], 0, None
+        last_key = rows[0, -1]
+        given, held, gone, first_doc = settled(np.concatenate([held, rows], axis=1), gone, first_doc, False)
+        yield given
+    if held.shape[1]:
+        yield settled(held, gone, first_doc, True)[0]
+
+
+REGION = "key long, chunk int, large boolean, doc_id long, row_mark long, start long, windows long, words string"
+
+
+def _regions(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """For each shared anchor of a text its windows and the words they span."""
     for whole in batches:
         for batch in pieces(whole, "text"):
             data, offsets = utf8(batch.column("text"))
             words, rows, starts, ends = _words.hashed_words(data, offsets)
             key, row, first, last, at = anchors(words, rows, window, prefix)
             begin = _words.row_bounds(rows, batch.num_rows)
-            wanted = batch.column("large_at" if large else "small_at")
-            size = np.array(wanted.value_lengths().fill_null(0))
-            places = np.repeat(begin[:-1], size) + wanted.flatten().to_numpy()
-            keep = np.isin(at, places)
-            key, row, first, last = key[keep], row[keep], first[keep], last[keep]
-            ids, marks = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_mark"))
-            if not large:
-                text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last + window - 1], strict=True)]
-                fields = [pa.array(key.view(np.int64)), ids, marks, pa.array(first - begin[row]), pa.array(last - first + 1), pa.array(text, pa.string())]
-                yield pa.RecordBatch.from_arrays(fields, ["key", "doc_id", "row_mark", "start", "windows", "words"])
-                continue
-            each = last - first + 1
-            which = np.repeat(np.arange(len(first)), each)
-            pos = first[which] + np.arange(len(which)) - np.repeat(np.cumsum(each) - each, each)
-            one, two = _words.ngram_hashes(words, window), _words.ngram_hashes(_words.mix(words ^ np.uint64(0x2545F491)), window)
-            fields = [pa.array(one[pos].view(np.int64)), pa.array(two[pos].view(np.int64)), ids.take(pa.array(which)), marks.take(pa.array(which)), pa.array(pos - begin[row[which]])]
-            yield pa.RecordBatch.from_arrays(fields, ["node", "node_2", "doc_id", "row_mark", "start"])
+            listed = batch.column("places")
+            size = np.array(listed.value_lengths().fill_null(0))
+            wanted = listed.flatten()
+            place = np.repeat(begin[:-1], size) + wanted.field("at").to_numpy()
+            order = np.argsort(place)
+            found = np.minimum(np.searchsorted(place[order], at), max(len(place) - 1, 0))
+            keep = place[order][found] == at if len(place) else np.zeros(len(at), bool)
+            key, row, first, last, which = key[keep], row[keep], first[keep], last[keep], order[found[keep]] if len(place) else found[:0]
+            text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last + window - 1], strict=True)]
+            fields = [
+                pa.array(key.view(np.int64)), wanted.field("chunk").take(pa.array(which)), wanted.field("large").take(pa.array(which)),
+                *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_mark")), pa.array(first - begin[row]), pa.array(last - first + 1), pa.array(text, pa.string()),
+            ]
+            yield pa.RecordBatch.from_arrays(fields, [f.split()[0] for f in REGION.split(", ")])
 
 
 def nodes_at_depth(symbols: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,74 +164,78 @@ def nodes_at_depth(symbols: np.ndarray, room: np.ndarray, depth: int) -> tuple[n
         at = at[~alone]
 
 
+DECIDED = "doc_id long, row_mark long, start long, end long, node long, node_2 long"
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key: word ranges of each row that repeat a document of smaller doc_id."""
+    """Rows sorted by (key, chunk): word ranges that repeat a document of smaller doc_id (node null), and of large prefixes
+    the windows that a smaller document of another chunk may still hold (node: their hash)."""
 
     def grown(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
         words, owner, _, _ = _words.hashed_words(*utf8(rows["words"]))
         bounds = _words.row_bounds(owner, rows.num_rows)
         suffix, node = nodes_at_depth(words, bounds[owner + 1] - np.arange(len(words)), window)
-        doc = rows["doc_id"].to_numpy()[owner[suffix]]
+        docs = rows["doc_id"].to_numpy()
+        doc = docs[owner[suffix]]
         order = np.argsort(node, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(node[order]) > 0)) if len(order) else order
         least = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
         smallest = np.empty(len(order), np.int64)
         smallest[order] = np.repeat(least, np.diff(np.append(heads, len(order))))
-        at = np.sort(suffix[doc > smallest])
-        if len(at):
-            head = np.append(True, (np.diff(at) > 1) | (np.diff(owner[at]) > 0))
-            first, last = at[head], at[np.append(head[1:], True)]
-        else:
-            first = last = at
-        own = owner[first]
+        repeats = np.sort(suffix[doc > smallest])
+        head = np.append(True, (np.diff(repeats) > 1) | (np.diff(owner[repeats]) > 0))[: len(repeats)]
+        first, last = repeats[head], repeats[np.append(head[1:], True)[: len(repeats)]]
+        # windows of large prefixes that nothing in this chunk repeats go on
+        open_ = np.flatnonzero(rows["large"].to_numpy(zero_copy_only=False))
+        each = rows["windows"].to_numpy()[open_]
+        rest = np.repeat(bounds[open_] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        rest = rest[~np.isin(rest, repeats)]
+        one, two = (_words.ngram_hashes(w, window) for w in (words, _words.mix(words ^ np.uint64(0x2545F491)))) if len(rest) else (words[:0], words[:0])
+        at, stop = np.concatenate([first, rest]), np.concatenate([last, rest])
+        own = owner[at]
         begin = rows["start"].to_numpy()[own] - bounds[own]
+        none = np.arange(len(at)) < len(first)
+        nodes = [pa.array(np.concatenate([np.zeros(len(first), np.int64), h[rest].view(np.int64)]), mask=none) for h in (one, two)]
         return pa.RecordBatch.from_arrays(
-            [*(rows[c].combine_chunks().take(pa.array(own)) for c in ("doc_id", "row_mark")), pa.array(first + begin), pa.array(last + begin + window)],
-            ["doc_id", "row_mark", "start", "end"],
+            [*(rows[c].combine_chunks().take(pa.array(own)) for c in ("doc_id", "row_mark")), pa.array(at + begin), pa.array(stop + begin + window), *nodes],
+            [f.split()[0] for f in DECIDED.split(", ")],
         )
 
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        length = np.array(batch.column("windows").to_numpy() + window)
-        last_key = held[-1].column("key")[-1].as_py() if held else None
+        key, chunk = batch.column("key").to_numpy(), batch.column("chunk").to_numpy()
+        new = np.append(True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))
+        if held:
+            new[0] = (held[-1].column("key")[-1].as_py(), held[-1].column("chunk")[-1].as_py()) != (key[0], chunk[0])
+        length = batch.column("windows").to_numpy() + window
         at = 0
-        for head in [*heads.tolist(), batch.num_rows]:
-            if head and head < batch.num_rows or head == 0 and last_key is not None and last_key != key[0]:
-                if size + length[at:head].sum() >= TREE_WORDS:
-                    yield grown([*held, batch.slice(at, head - at)])
-                    held, size, at = [], 0, head
+        for head in np.flatnonzero(new).tolist():
+            if size + length[at:head].sum() >= TREE_WORDS:
+                yield grown([*held, batch.slice(at, head - at)])
+                held, size, at = [], 0, head
         held.append(batch.slice(at))
         size += int(length[at:].sum())
     if held:
         yield grown(held)
 
 
-SPANS = "doc_id long, row_mark long, start long, end long"
-
-
 def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """doc_id, row_mark, start, end: ranges of words covered by windows that also start in a document of smaller doc_id."""
     marks = own.filter("doc_id is not null").mapInArrow(lambda it: _anchored(it, window, prefix), "key long, doc_id long, row_mark long, at long")
     marks = marks.repartition("key").sortWithinPartitions("key", "doc_id")
-    shared = marks.mapInArrow(lambda it: _shared(it, GROUP), "doc_id long, row_mark long, at long, large boolean")
-    places = shared.groupBy("doc_id", "row_mark").agg(
-        F.collect_set(F.when(~F.col("large"), F.col("at"))).alias("small_at"), F.collect_set(F.when(F.col("large"), F.col("at"))).alias("large_at")
-    )  # bounded by the length of one text
-    found = own.join(places, ["doc_id", "row_mark"])
-    small = found.filter(F.size("small_at") > 0).mapInArrow(lambda it: _regions(it, window, prefix, False), REGION)
-    small = small.repartition("key").sortWithinPartitions("key")
-    spans = small.mapInArrow(lambda it: _subtrees(it, window), SPANS)
-    large = found.filter(F.size("large_at") > 0).mapInArrow(lambda it: _regions(it, window, prefix, True), "node long, node_2 long, doc_id long, row_mark long, start long")
-    large = stage(large, "windows")
-    first = large.groupBy("node", "node_2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    covered = large.join(first, ["node", "node_2"]).filter("doc_id > least")
-    covered = covered.select("doc_id", "row_mark", "start", (F.col("start") + window).alias("end"))
-    return spans.unionByName(covered)
+    shared = marks.mapInArrow(lambda it: _shared(it, GROUP), "doc_id long, row_mark long, at long, chunk int, large boolean")
+    places = shared.groupBy("doc_id", "row_mark").agg(F.collect_set(F.struct("at", "chunk", "large")).alias("places"))  # bounded by one text
+    regions = own.join(places, ["doc_id", "row_mark"]).mapInArrow(lambda it: _regions(it, window, prefix), REGION)
+    regions = regions.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
+    decided = stage(regions.mapInArrow(lambda it: _subtrees(it, window), DECIDED), "decided")
+    open_ = decided.filter("node is not null")
+    first = open_.groupBy("node", "node_2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    covered = open_.join(first, ["node", "node_2"]).filter("doc_id > least")
+    names = ["doc_id", "row_mark", "start", "end"]
+    return decided.filter("node is null").select(*names).unionByName(covered.select(*names))
 
 
 def covered_words(n: int, spans: list[dict]) -> np.ndarray:
