@@ -110,16 +110,6 @@ def _stars(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
 
 
-def _tokens(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            hashes, rows = shingle_rows(batch, k)
-            ends = np.cumsum(np.bincount(rows, minlength=batch.num_rows))
-            raw = [hashes[a:b].tobytes() for a, b in zip(np.append(0, ends), ends, strict=False)]
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(raw, pa.binary())], [*names, "tokens"])
-
-
 class SignatureTree:
     """Levels of nodes over sets ordered by size, sets themselves at the bottom.
 
@@ -208,12 +198,12 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: Threshold
     return out
 
 
-def _joined(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by root: one or two blocks of sets; yields the links found."""
+def _joined(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by root: the texts of one or two blocks of sets; yields the links found."""
 
-    def met(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        sides = [sorted(((len(t), d, t) for s, d, t in rows if s == side)) for side in (0, 1)]
-        sets = [[np.frombuffer(t, np.uint64) for _, _, t in side] for side in sides]
+    def met(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        sides = [sorted(((len(t), d, t) for s, d, t in rows if s == side), key=lambda x: x[:2]) for side in (0, 1)]
+        sets = [[t for _, _, t in side] for side in sides]
         found = linked(sets[0], sets[1] if sides[1] else None, threshold)
         other = sides[1] or sides[0]
         return pa.RecordBatch.from_arrays(
@@ -221,13 +211,18 @@ def _joined(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator
         )
 
     root, rows = None, []
-    for batch in batches:
-        for at, side, doc_id, tokens in zip(*(batch.column(c).to_pylist() for c in ("root", "side", "doc_id", "tokens")), strict=True):
-            if at != root:
-                if len(rows) > 1:
-                    yield met(rows)
-                root, rows = at, []
-            rows.append((side, doc_id, tokens))
+    for whole in batches:
+        for batch in pieces(whole, "text"):
+            hashes, owner = shingle_rows(batch, k)
+            ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))
+            columns = (batch.column(c).to_pylist() for c in ("root", "side", "doc_id"))
+            for at, side, doc_id, end, start in zip(*columns, ends, np.append(0, ends), strict=False):
+                if at != root:
+                    if len(rows) > 1:
+                        yield met(rows)
+                    root, rows = at, []
+                if end > start:
+                    rows.append((side, doc_id, hashes[start:end].copy()))
     if len(rows) > 1:
         yield met(rows)
 
@@ -292,11 +287,9 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
     near = connected_components(keys.mapInArrow(lambda it: _stars(it, threshold), "a long, b long"))
     sizes = lone.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     members = stage(near.join(sizes, "node").select(F.col("node").alias("doc_id"), "n_shingles", "component"), "members")
-    wanted = members.select("doc_id").distinct()
-    tokens = own.join(wanted, "doc_id").mapInArrow(lambda it: _tokens(it, k), "doc_id long, tokens binary")
-    rooted = _rooted(members, threshold).join(tokens, "doc_id").filter(F.length("tokens") > 0)
-    rooted = rooted.repartition("root").sortWithinPartitions("root", "side", "doc_id")
-    links = rooted.mapInArrow(lambda it: _joined(it, threshold), "a long, b long")
+    # texts travel to their roots, not their tokens, which take more room
+    rooted = own.join(_rooted(members, threshold), "doc_id").repartition("root").sortWithinPartitions("root", "side", "doc_id")
+    links = rooted.mapInArrow(lambda it: _joined(it, k, threshold), "a long, b long")
     # equal sets of other rows that repeat a doc_id reach its class through the doc_id itself
     same = marked.filter("n_shingles > 0 and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))
