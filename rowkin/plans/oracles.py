@@ -307,9 +307,9 @@ ORACLES: dict[str, str] = {
     "floor_curve": f"{DECISION} {FLOOR_CURVE}",
     "tune_drawbridge": f"{DECISION} select * from ({FLOOR_CURVE}) order by f05 desc, floor, factor limit 1",
     "bar_curve": f"{DECISION} {BAR_CURVE}",
-    "safe_range": f"""{DECISION}, b as ({BAR_CURVE}), m as (select *, f05 >= max(f05) over () - 0.01 as good, min(case when f05 = (select max(f05) from b) then bar end) over () as at from b),
+    "safe_range": f"""{DECISION}, b as ({BAR_CURVE}), m as (select *, f05 >= max(f05) over () - 0.01 as good, min(case when f05 = (select max(f05) from b) then bar end) over () as peak from b),
         r as (select *, sum(cast(not good as int)) over (order by bar) as run from m)
-        select min(bar) as safe_lo, max(bar) as safe_hi from r where good and run = (select run from r where bar = at)""",
+        select min(bar) as safe_lo, max(bar) as safe_hi from r where good and run = (select run from r where bar = peak)""",
     "count_bar": f"{DECISION}, p as (select prob, row_number() over (order by prob desc) as nth from ({kept('0.3', '0.5')})) select coalesce((select prob from p where nth = least(round_even(20.0 * (select count(*) from biz), 0), (select count(*) from p))), 1.0) as bar",
     "count_floor": f"""{DECISION}, t as (select top, count(*) as n from topped where best and prob >= 0.9 * top group by top), u as (select top, sum(n) over (order by top desc) as upto from t)
         select top as floor from u order by round(abs(upto - 3.0 * (select count(*) from biz)), 9), top desc limit 1""",

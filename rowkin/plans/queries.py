@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,14 @@ def prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return translit.prepare(one), translit.prepare(other)
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Rows that several parts of a plan read, kept in the shared checkpoint folder."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/rowkin-shared")
+    return rows.checkpoint()
+
+
 def short_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.p_short(spark, sf_dir).select(F.lit("XX").alias("country"), "rec_id", "cand_id", "rank", "score")
 
@@ -419,7 +428,7 @@ def feat_flags(spark, sf_dir):
 
 @query
 def features_all(spark, sf_dir):
-    s1, records = prepared(spark, sf_dir)
+    s1, records = map(written, prepared(spark, sf_dir))
     pairs = short_pairs(spark, sf_dir).withColumns({"cos_n": c("score"), "cos_a": c("score")})
     return features.comparisons(pairs, s1, records)
 
@@ -582,3 +591,58 @@ def trim_statistics(spark, sf_dir):
     n = businesses(spark, sf_dir).agg(F.count("*").alias("n"))
     kept = rows.agg(F.count_if(c("prob") >= decision.TRIM).alias("kept"), F.count_if((c("prob") >= decision.TRIM) & c("y")).alias("true_kept"), F.count_if(c("y")).alias("true_all"))
     return kept.crossJoin(n).select(F.round(c("kept") / c("n"), 9).alias("pairs_per_business"), F.round(c("true_kept") / c("true_all"), 9).alias("recall"))
+
+
+# ---- models
+
+
+def model_rows(spark, sf_dir) -> DataFrame:
+    """Labelled pairs with the columns of the first model, from the made-up shortlist."""
+    owned = testlike.owners(fixtures.p_ot(spark, sf_dir), fixtures.p_truth(spark, sf_dir), fixtures.p_s1(spark, sf_dir))
+    rows = testlike.labelled(features.rank_block(short_pairs(spark, sf_dir)), owned)
+    held_out = fixtures.p_s1(spark, sf_dir).filter("k % 13 = 1").select(c("entity_id").alias("cand_id"))
+    rows = rows.withColumns({"cos_name": c("score") * 0.9, "cos_addr": 1 - c("score")})
+    return testlike.training_pairs(rows, held_out)
+
+
+@query
+def model_cheap_trim(spark, sf_dir):
+    from rowkin.plans import models
+
+    return models.trimmed(model_rows(spark, sf_dir), rounds=5, least=5).select("rec_id", "cand_id", "train", "cheap", "keep")
+
+
+@query
+def model_trees(spark, sf_dir):
+    from rowkin.plans import models
+
+    rows = model_rows(spark, sf_dir)
+    model = models.fit(models.trees(models.CHEAP, 5, 0.1, 4, 5), rows.filter("train"))
+    return models.probability(model, rows.select("rec_id", "cand_id", "train", *models.CHEAP), "prob").select("rec_id", "cand_id", "train", "prob")
+
+
+@query
+def model_text_scorer(spark, sf_dir):
+    from rowkin.plans import models, pipeline
+
+    s1, records = (d.withColumn("country", F.lit("XX")) for d in (fixtures.p_s1(spark, sf_dir), fixtures.p_ot(spark, sf_dir)))
+    rows = pipeline.pair_texts(model_rows(spark, sf_dir).select("country", "rec_id", "cand_id", "y", "train"), s1, records)
+    return models.text_scorer(buckets=256, iterations=5)(rows.filter("train"))(rows, "second").select("rec_id", "cand_id", "second")
+
+
+@query
+def model_stacker(spark, sf_dir):
+    from rowkin.plans import models
+
+    rows = scored(spark, sf_dir).select("rec", "cand", "y", c("prob").alias("tree"), (c("prob") * 4 - 2).alias("second"))
+    inside = rows.filter(models.unsure(c("tree")))
+    return models.stacked(models.stacker(inside), rows).select("rec", "cand", "prob")
+
+
+@query
+def pipeline_search(spark, sf_dir):
+    """Shortlist and all comparison columns of the part fixture, as the pipeline makes them."""
+    from rowkin.plans import pipeline
+
+    s1, records = map(written, prepared(spark, sf_dir))
+    return features.comparisons(written(pipeline.shortlist(s1, records, 3)), s1, records)
