@@ -14,42 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import _words
-from rowkin.llm._io import pieces, stage, utf8
+from rowkin.llm._chunks import chunk_table, chunks_with_totals, with_totals
 
 ORDER, ALPHA = 2, 0.4
-CHUNK_BYTES = 4 << 20
-#: Words counted in one hash partition, about.
-PARTITION_WORDS = 1 << 20
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk: an id from its content, its number of words, and its documents compressed."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for whole in batches:
-        for batch in pieces(whole, "text", CHUNK_BYTES):
-            data, offsets = utf8(batch.column("text"))
-            words, rows, _, _ = _words.hashed_words(data, offsets, lower=True)
-            ids = batch.column("doc_id")
-            known = np.array(ids.is_valid())
-            id_values = ids.fill_null(0).to_numpy()
-            raw = b"".join([known.astype(np.uint8).tobytes(), id_values.astype("<i8").tobytes(), offsets.astype("<i8").tobytes(), data.tobytes()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([len(words)]), pa.array([batch.num_rows], pa.int32()), pa.array([pack.compress(raw)], pa.binary())], ["n_words", "n_docs", "docs"]
-            )
-
-
-def unpack(docs: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(known ids, ids, text bytes, offsets) of a chunk."""
-    raw = zstandard.ZstdDecompressor().decompress(docs)
-    known = np.frombuffer(raw, np.uint8, n).astype(bool)
-    ids = np.frombuffer(raw, "<i8", n, n)
-    offsets = np.frombuffer(raw, "<i8", n + 1, 9 * n)
-    return known, ids, np.frombuffer(raw, np.uint8, offset=9 * n + 8 * (n + 1)), offsets
 
 
 def chunk_grams(data: np.ndarray, offsets: np.ndarray, order: int):
@@ -70,66 +41,6 @@ def table_keys(grams) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([h[w] for h, w in grams]), return_counts=True)
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Byte planes: the bytes of equal weight side by side, which compress well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def from_planes(raw: bytes, kind) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
-
-
-def partition_bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each hash partition's keys begin in ascending keys: partitions are equal ranges of the hash."""
-    limits = np.array([(i << 64) // parts for i in range(parts)], np.uint64)
-    return np.append(np.searchsorted(keys, limits), len(keys))
-
-
-def _exploded(batches: Iterator[pa.RecordBatch], order: int, parts: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for chunk, n, docs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "n_docs", "docs")), strict=True):
-            _, _, data, offsets = unpack(docs, n)
-            keys, counts = table_keys(chunk_grams(data, offsets, order)[0])
-            at = partition_bounds(keys, parts)
-            full = np.flatnonzero(np.diff(at))
-            keys_, counts_ = [], []
-            for p in full:
-                own = keys[at[p] : at[p + 1]]
-                keys_.append(planes(np.append(own[:1], np.diff(own))))
-                counts_.append(planes(counts[at[p] : at[p + 1]].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(full.astype(np.int32)), pa.array([chunk] * len(full), pa.int64()), pa.array(keys_, pa.binary()), pa.array(counts_, pa.binary())],
-                ["part", "chunk", "keys", "counts"],
-            )
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part: joins equal n-grams of one partition, sums their counts, answers every chunk."""
-
-    def answer(part: int, rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-        keys = [np.cumsum(from_planes(k, np.uint64), dtype=np.uint64) for _, k, _ in rows]
-        counts = np.concatenate([from_planes(c, np.uint32) for _, _, c in rows])
-        _, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, counts).astype(np.uint64)[which]
-        ends = np.cumsum([len(k) for k in keys])
-        blobs = [planes(total[e - len(k) : e]) for e, k in zip(ends, keys, strict=True)]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([c for c, _, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array(blobs, pa.binary())], ["chunk", "part", "totals"]
-        )
-
-    part, rows = None, []
-    for batch in batches:
-        for p, chunk, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "chunk", "keys", "counts")), strict=True):
-            if p != part:
-                if rows:
-                    yield answer(part, rows)
-                part, rows = p, []
-            rows.append((chunk, keys, counts))
-    if rows:
-        yield answer(part, rows)
-
-
 def own_counts(hashes: np.ndarray, whole: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """How often each word's n-gram stands in its own row."""
     out = np.zeros(len(hashes), np.int64)
@@ -172,26 +83,20 @@ def row_scores(grams, rows: np.ndarray, n_rows: int, keys: np.ndarray, totals: n
 SCORES = "doc_id long, n_words long, log_score double, n_backoff long, n_unseen long"
 
 
+def chunk_terms(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    return table_keys(chunk_grams(data, offsets, order)[0])
+
+
 def _scored(batches: Iterator[pa.RecordBatch], order: int, n_words: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (chunk, kind, part): a chunk's totals, then its documents."""
-    chunk, totals = None, []
-    for batch in batches:
-        for at, kind, n, blob in zip(*(batch.column(c).to_pylist() for c in ("chunk", "kind", "n_docs", "blob")), strict=True):
-            if at != chunk:
-                chunk, totals = at, []
-            if kind == 0:
-                totals.append(blob)
-                continue
-            known, ids, data, offsets = unpack(blob, n)
-            grams, rows = chunk_grams(data, offsets, order)
-            keys, _ = table_keys(grams)
-            found = np.concatenate([np.zeros(0, np.uint64), *(from_planes(t, np.uint64) for t in totals)])
-            size, sums, backed, unseen = row_scores(grams, rows, n, keys, found, n_words)
-            mean = sums / np.maximum(size, 1)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, mask=~known), pa.array(size.astype(np.int64)), pa.array(mean, mask=size == 0), pa.array(backed), pa.array(unseen)],
-                [f.split()[0] for f in SCORES.split(", ")],
-            )
+    for known, ids, data, offsets, totals in chunks_with_totals(batches):
+        grams, rows = chunk_grams(data, offsets, order)
+        keys, _ = table_keys(grams)
+        size, sums, backed, unseen = row_scores(grams, rows, len(ids), keys, totals, n_words)
+        mean = sums / np.maximum(size, 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=~known), pa.array(size.astype(np.int64)), pa.array(mean, mask=size == 0), pa.array(backed), pa.array(unseen)],
+            [f.split()[0] for f in SCORES.split(", ")],
+        )
 
 
 def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -202,14 +107,7 @@ def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
     row each; other columns are ignored.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    chunks = own.mapInArrow(_chunks, "n_words long, n_docs int, docs binary").withColumn("chunk", F.monotonically_increasing_id())
-    chunks = stage(chunks, "chunks")
+    chunks = chunk_table(own)
     n_words = int(chunks.agg(F.sum("n_words")).first()[0] or 0)
-    parts = max(1, -(-n_words // PARTITION_WORDS))
-    packed = chunks.select("chunk", "n_docs", "docs").mapInArrow(lambda it: _exploded(it, order, parts), "part int, chunk long, keys binary, counts binary")
-    packed = packed.repartition(min(parts, 4096), "part").sortWithinPartitions("part", "chunk")
-    totals = packed.mapInArrow(_summed, "chunk long, part int, totals binary")
-    answers = totals.select("chunk", F.lit(0).alias("kind"), "part", F.lit(0).alias("n_docs"), F.col("totals").alias("blob"))
-    texts = chunks.select("chunk", F.lit(1).alias("kind"), F.lit(-1).alias("part"), "n_docs", F.col("docs").alias("blob"))
-    met = answers.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind", "part")
+    met = with_totals(chunks, lambda data, offsets: chunk_terms(data, offsets, order), n_words)
     return met.mapInArrow(lambda it: _scored(it, order, n_words), SCORES)

@@ -1,8 +1,8 @@
 """N-gram Jaccard join (1) with signature trees.
 
 A document is its set of distinct word shingles, as 64-bit hashes. Equal sets collapse into one class. The classes that can
-reach the threshold share a shingle in their prefixes under any global order, here rare hash buckets first, so passages that
-many documents quote come last; sharing sends them under one root. Below each root stands a signature tree: its nodes hold the
+reach the threshold share a shingle in their prefixes under any global order, here rare shingles first, by exact counts over
+all documents, so chance and quoted passages seldom meet; sharing sends them under one root. Below each root stands a signature tree: its nodes hold the
 OR of their sets' token bitmaps, the range of set sizes and the most tokens that bitmaps can hide. A dual traversal descends
 only into node pairs whose greatest possible overlap reaches the threshold, and the pairs left are compared exactly unless
 they are already connected. Roots too large for one task are split into blocks by size and met block against block.
@@ -15,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import _words
+from rowkin.llm._chunks import chunk_table, chunks_with_totals, with_totals
 from rowkin.llm._components import connected_components
-from rowkin.llm._io import pieces, stage, utf8
+from rowkin.llm._io import remove, stage, utf8
 
-COUNT_BUCKETS = 1 << 16
 FAN = 8
 #: Sets and tokens in a block; larger roots are split.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
@@ -58,39 +59,42 @@ def shingle_rows(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
     return _words.distinct_by_row(*_words.shingles(words, rows, batch.num_rows, k))
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNT_BUCKETS, np.int64)
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            total += np.bincount(bucket_of(shingle_rows(batch, k)[0]), minlength=COUNT_BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch], k: int, counts: np.ndarray, threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            hashes, rows = shingle_rows(batch, k)
-            n = np.bincount(rows, minlength=batch.num_rows)
-            sums = []
-            for salt in (0x1B873593, 0x85EBCA6B):
-                total = np.zeros(len(hashes) + 1, np.uint64)
-                np.cumsum(_words.mix(hashes ^ np.uint64(salt)), out=total[1:])
-                ends = np.cumsum(n)
-                sums.append((total[ends] - total[ends - n]).view(np.int64))
-            order = np.lexsort((hashes, counts[bucket_of(hashes)], rows))
-            starts = np.cumsum(n) - n
-            keep = np.where(n > 0, threshold.prefix(n), 0)
-            at = np.repeat(starts - (np.cumsum(keep) - keep), keep) + np.arange(keep.sum())
-            prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(keep)).astype(np.int32)), pa.array(hashes[order][at].view(np.int64)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), prefix],
-                ["doc_id", "n_shingles", "set_a", "set_b", "prefix"],
-            )
+def chunk_terms(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of a chunk and the number of its documents that hold each."""
+    words, rows, _, _ = _words.hashed_words(data, offsets, lower=True)
+    return np.unique(_words.distinct_by_row(*_words.shingles(words, rows, len(offsets) - 1, k))[0], return_counts=True)
+
+
+SETS = "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>, text binary"
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) -> Iterator[pa.RecordBatch]:
+    """Size, two sums of its hashes and the shared prefix shingles of each document; its text (compressed) if there are any."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for known, ids, data, offsets, totals in chunks_with_totals(batches):
+        n_rows = len(ids)
+        words, word_rows, _, _ = _words.hashed_words(data, offsets, lower=True)
+        hashes, rows = _words.distinct_by_row(*_words.shingles(words, word_rows, n_rows, k))
+        n = np.bincount(rows, minlength=n_rows)
+        ends = np.cumsum(n)
+        sums = []
+        for salt in (0x1B873593, 0x85EBCA6B):
+            total = np.zeros(len(hashes) + 1, np.uint64)
+            np.cumsum(_words.mix(hashes ^ np.uint64(salt)), out=total[1:])
+            sums.append((total[ends] - total[ends - n]).view(np.int64))
+        held = totals[np.searchsorted(np.unique(hashes), hashes)] if len(hashes) else totals
+        order = np.lexsort((hashes, held, rows))
+        nth = np.arange(len(hashes)) - np.repeat(ends - n, n)
+        # shingles that one document alone holds come first and meet nothing
+        taken = (nth < np.repeat(np.where(n > 0, threshold.prefix(n), 0), n)) & (held[order] > 1)
+        shared = np.bincount(rows[taken], minlength=n_rows)
+        prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(shared)).astype(np.int32)), pa.array(hashes[order][taken].view(np.int64)))
+        raw = data.tobytes()
+        text = [pack.compress(raw[offsets[i] : offsets[i + 1]]) if shared[i] and known[i] else None for i in range(n_rows)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(ids, mask=~known), pa.array(n.astype(np.int64)), pa.array(sums[0]), pa.array(sums[1]), prefix, pa.array(text, pa.binary())],
+            ["doc_id", "n_shingles", "set_a", "set_b", "prefix", "text"],
+        )
 
 
 def _stars(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
@@ -210,10 +214,12 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) ->
             [pa.array([sides[0][i][1] for i, _ in found], pa.int64()), pa.array([other[j][1] for _, j in found], pa.int64())], ["a", "b"]
         )
 
+    unpack = zstandard.ZstdDecompressor()
     root, rows = None, []
     for whole in batches:
-        for batch in pieces(whole, "text"):
-            hashes, owner = shingle_rows(batch, k)
+        for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+            texts = pa.array([unpack.decompress(t).decode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()], pa.string())
+            hashes, owner = shingle_rows(pa.RecordBatch.from_arrays([texts], ["text"]), k)
             ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows))
             columns = (batch.column(c).to_pylist() for c in ("root", "side", "doc_id"))
             for at, side, doc_id, end, start in zip(*columns, ends, np.append(0, ends), strict=False):
@@ -271,12 +277,11 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
     """
     threshold = Threshold(over, under)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = np.zeros(COUNT_BUCKETS, np.int64)
-    summed = own.mapInArrow(lambda it: _counted(it, k), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # COUNT_BUCKETS rows at most
-        counts[r["bucket"]] = r["n"]
-    sets = own.mapInArrow(lambda it: _sets(it, k, counts, threshold), "doc_id long, n_shingles long, set_a long, set_b long, prefix array<long>")
-    sets = stage(sets, "sets")
+    chunks = chunk_table(own)
+    n_words = int(chunks.agg(F.sum("n_words")).first()[0] or 0)
+    met = with_totals(chunks, lambda data, offsets: chunk_terms(data, offsets, k), n_words)
+    sets = stage(met.mapInArrow(lambda it: _sets(it, k, threshold), SETS), "sets")
+    remove(chunks)
     key = ["n_shingles", "set_a", "set_b"]
     full = sets.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(*key, "rep")
@@ -287,8 +292,9 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
     near = connected_components(keys.mapInArrow(lambda it: _stars(it, threshold), "a long, b long"))
     sizes = lone.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     members = stage(near.join(sizes, "node").select(F.col("node").alias("doc_id"), "n_shingles", "component"), "members")
-    # texts travel to their roots, not their tokens, which take more room
-    rooted = own.join(_rooted(members, threshold), "doc_id").repartition("root").sortWithinPartitions("root", "side", "doc_id")
+    # compressed texts travel to their roots, not their tokens, which take more room
+    texts = lone.filter("text is not null").select("doc_id", "text")
+    rooted = texts.join(_rooted(members, threshold), "doc_id").repartition("root").sortWithinPartitions("root", "side", "doc_id")
     links = rooted.mapInArrow(lambda it: _joined(it, k, threshold), "a long, b long")
     # equal sets of other rows that repeat a doc_id reach its class through the doc_id itself
     same = marked.filter("n_shingles > 0 and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))

@@ -200,12 +200,11 @@ def document_scores(field: LineField | None, data: np.ndarray, offsets: np.ndarr
     return np.clip(np.bincount(rows, good * weight, len(lines)) / np.bincount(rows, weight, len(lines)), 0.0, 1.0)
 
 
-def _scored(batches: Iterator[pa.RecordBatch], field: LineField | None) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], field: LineField | None, carried: str) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
-            score = document_scores(field, *utf8(batch.column("text")))
-            names = [n for n in batch.schema.names if n != "score"]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score, pa.float64())], [*names, "score"])
+            made = pa.array(document_scores(field, *utf8(batch.column("text"))), pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(carried), made], [carried, "score"])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -216,20 +215,13 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     field = train(docs, labels)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = own.mapInArrow(lambda it: _without_text(_scored(it, field)), "doc_id long, score double")
+    scored = own.mapInArrow(lambda it: _scored(it, field, "doc_id"), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def _without_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.select(["doc_id", "score"])
-
-
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose score reaches THRESHOLD, with all their columns."""
     field = train(docs, labels)
-    clash = "score" in docs.columns
-    marked = docs.withColumnRenamed("score", "score_") if clash else docs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema) + ", score double"
-    kept = marked.mapInArrow(lambda it: _scored(it, field), schema).filter(F.col("score") >= THRESHOLD).drop("score")
-    return kept.withColumnRenamed("score_", "score") if clash else kept
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(lambda it: _scored(it, field, "row"), f"row {kind}, score double").filter(F.col("score") >= THRESHOLD).select("row.*")

@@ -272,23 +272,22 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterat
                     out.append((raw[offsets[i] : edges[0]] * bool(not hit[0]) + b"".join(parts)).decode("utf-8", "replace"))
             made = [pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
             if texts:
-                names = [n for n in batch.schema.names if n not in ("text", "spans", "copy", "doc_key", "row_mark")]
-                yield pa.RecordBatch.from_arrays([*map(batch.column, names), made[2]], [*names, "text"])
+                yield pa.RecordBatch.from_arrays([batch.column("rest"), made[2]], ["rest", "text"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
 def _marked(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Rows with doc_key, row_mark, spans to remove, and whether the row copies the text of a smaller doc_id."""
-    rows = docs.withColumn("doc_key", F.col("doc_id").cast("long")).withColumn("row_mark", F.xxhash64("doc_id", "text"))
-    plain = rows.select(F.col("doc_key").alias("doc_id"), "row_mark", F.col("text").cast("string").alias("text"))
+    """Rows of doc_id, text (and rest) with the spans to remove, and whether the text copies that of a smaller doc_id."""
+    rows = docs.withColumn("row_mark", F.xxhash64("doc_id", "text"))
+    plain = rows.select("doc_id", "row_mark", "text")
     digests = plain.select("doc_id", "row_mark", F.md5("text").alias("digest")).filter("digest is not null and doc_id is not null")
     first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
     copies = stage(digests.join(first, "digest").filter("doc_id > least").select("doc_id", "row_mark").distinct(), "copies")
     spans = repeated_spans(plain.join(copies, ["doc_id", "row_mark"], "left_anti"), window, prefix)
     spans = stage(spans.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    extra = spans.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "row_mark"], "full").withColumnRenamed("doc_id", "doc_key")
-    return rows.join(extra, ["doc_key", "row_mark"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    extra = spans.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "row_mark"], "full")
+    return rows.join(extra, ["doc_id", "row_mark"], "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("row_mark")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -306,10 +305,11 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """The documents with repeated words cut out of ``text`` (and ``n_chars`` renewed if there is one); other columns stay."""
-    names = docs.columns
-    marked = _marked(docs, window, prefix).select(*[c for c in names if c != "text"], F.col("text").cast("string").alias("text"), "spans", "copy")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text") + ", text string"
-    out = marked.mapInArrow(lambda it: _kept(it, window, True), schema)
-    if "n_chars" in names:
+    others = [n for n in docs.columns if n != "text"]
+    packed = docs.select(F.struct(*others).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = packed.schema["rest"].dataType.simpleString()
+    marked = _marked(packed, window, prefix).select("rest", "text", "spans", "copy")
+    out = marked.mapInArrow(lambda it: _kept(it, window, True), f"rest {kind}, text string").select("rest.*", "text")
+    if "n_chars" in others:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    return out.select(*docs.columns)
