@@ -97,23 +97,6 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) -> It
         )
 
 
-def _stars(batches: Iterator[pa.RecordBatch], threshold: Threshold) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, n_shingles, doc_id): links each row to the first of its run of equal keys and reachable sizes."""
-    held: tuple[int, int, int] | None = None  # key and size of the last row, first doc_id of its run
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, size, doc = (batch.column(c).to_numpy() for c in ("key", "n_shingles", "doc_id"))
-        joined = np.zeros(len(key), bool)
-        joined[1:] = (key[1:] == key[:-1]) & ~threshold.sizes_apart(size[:-1], size[1:])
-        joined[0] = held is not None and held[0] == key[0] and not threshold.sizes_apart(held[1], size[0])
-        first = np.maximum.accumulate(np.where(joined, -1, np.arange(len(key))))
-        to = np.where(first >= 0, doc[np.maximum(first, 0)], held[2] if held else 0)
-        held = int(key[-1]), int(size[-1]), int(to[-1])
-        links = np.unique(np.stack([doc, to])[:, joined & (doc != to)], axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(links[0]), pa.array(links[1])], ["a", "b"])
-
-
 class SignatureTree:
     """Levels of nodes over sets ordered by size, sets themselves at the bottom.
 
@@ -288,8 +271,10 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
     marked = sets.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     lone = full.join(classes, key, "left").filter("rep is null or rep = doc_id")
     keys = lone.select(F.explode("prefix").alias("key"), "n_shingles", "doc_id")
-    keys = keys.repartition("key").sortWithinPartitions("key", "n_shingles", "doc_id")
-    near = connected_components(keys.mapInArrow(lambda it: _stars(it, threshold), "a long, b long"))
+    # every holder of a key is linked to its smallest one: map-side minima and a join that can be split, whatever the key's size
+    first = keys.groupBy("key").agg(F.min(F.struct("n_shingles", "doc_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    stars = keys.join(first.select("key", F.col("first.doc_id").alias("b")), "key").select(F.col("doc_id").alias("a"), "b")
+    near = connected_components(stars)
     sizes = lone.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
     members = stage(near.join(sizes, "node").select(F.col("node").alias("doc_id"), "n_shingles", "component"), "members")
     # compressed texts travel to their roots, not their tokens, which take more room

@@ -67,54 +67,6 @@ def _anchored(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> It
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, marks, pa.array((at - begin[row]).astype(np.int64))], ["key", "doc_id", "row_mark", "at"])
 
 
-def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, doc_id): those whose key stands in two documents or more, in chunks of ``most`` per key.
-
-    A run of equal keys is held until it ends, or until it is known to be shared and too large for one chunk.
-    """
-    names = ["doc_id", "row_mark", "at"]
-    held = np.zeros((4, 0), np.int64)  # key, doc_id, row_mark, at of the run that may go on
-    gone, first_doc = 0, None  # rows of that run that are out already, and its smallest doc_id
-
-    def out(rows: np.ndarray, nth: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*map(pa.array, rows[1:]), pa.array((nth // most).astype(np.int32)), pa.array(large)], [*names, "chunk", "large"])
-
-    def settled(rows: np.ndarray, gone: int, first_doc, ended: bool):
-        """Runs that can be given out of ``rows``; the rest, which begins with the last run unless that has ended."""
-        heads = np.flatnonzero(np.append(True, rows[0, 1:] != rows[0, :-1]))
-        sizes = np.diff(np.append(heads, rows.shape[1]))
-        least, greatest = np.minimum.reduceat(rows[1], heads), np.maximum.reduceat(rows[1], heads)
-        before = np.zeros(len(heads), np.int64)
-        if first_doc is not None:
-            before[0], least[0] = gone, min(first_doc, least[0])
-        shared, large = least != greatest, sizes + before > most
-        ready = shared.copy()
-        if not ended:
-            ready[-1] &= large[-1]
-        keep = np.repeat(ready, sizes)
-        nth = np.arange(rows.shape[1]) - np.repeat(heads - before, sizes)
-        given = out(rows[:, keep], nth[keep], np.repeat(large, sizes)[keep])
-        if ready[-1]:
-            return given, rows[:, :0], before[-1] + sizes[-1], least[-1]
-        return given, rows[:, heads[-1] :], before[-1], least[-1] if before[-1] else None
-
-    last_key = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = np.stack([batch.column(c).to_numpy() for c in ["key", *names]])
-        if held.shape[1] == 0 and rows[0, 0] != last_key:
-            gone, first_doc = 0, None
-        elif held.shape[1] and rows[0, 0] != held[0, 0]:
-            yield settled(held, gone, first_doc, True)[0]
-            held, gone, first_doc = held[:, :0], 0, None
-        last_key = rows[0, -1]
-        given, held, gone, first_doc = settled(np.concatenate([held, rows], axis=1), gone, first_doc, False)
-        yield given
-    if held.shape[1]:
-        yield settled(held, gone, first_doc, True)[0]
-
-
 REGION = "key long, chunk int, large boolean, doc_id long, row_mark long, start long, windows long, words string"
 
 
@@ -225,8 +177,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """doc_id, row_mark, start, end: ranges of words covered by windows that also start in a document of smaller doc_id."""
     marks = own.filter("doc_id is not null").mapInArrow(lambda it: _anchored(it, window, prefix), "key long, doc_id long, row_mark long, at long")
-    marks = marks.repartition("key").sortWithinPartitions("key", "doc_id")
-    shared = marks.mapInArrow(lambda it: _shared(it, GROUP), "doc_id long, row_mark long, at long, chunk int, large boolean")
+    # keys in two documents or more, by map-side counts and a join that can be split, however many rows one key has
+    several = marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least < most")
+    several = several.select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
+    shared = marks.join(several, "key").select(
+        "doc_id", "row_mark", "at", F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") > 1).alias("large")
+    )
     places = shared.groupBy("doc_id", "row_mark").agg(F.collect_set(F.struct("at", "chunk", "large")).alias("places"))  # bounded by one text
     regions = own.join(places, ["doc_id", "row_mark"]).mapInArrow(lambda it: _regions(it, window, prefix), REGION)
     regions = regions.repartition("key", "chunk").sortWithinPartitions("key", "chunk")

@@ -1,9 +1,7 @@
 """N-gram Jaccard join and substring dedup against brute force, with odd rows."""
 
 import hashlib
-import random
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -129,20 +127,6 @@ def test_without_repeats_keeps_columns_and_white_space(docs, rows, no_docs):
             assert (r["doc_id"], r["text"]) in plain
 
 
-def test_runs_of_shared_anchors():
-    rng = random.Random(3)
-    for _ in range(200):
-        most, n = rng.choice([1, 2, 3, 5, 100]), rng.randint(1, 60)
-        rows = sorted((rng.randint(0, 6), rng.randint(0, 5), rng.randint(0, 9), i) for i in range(n))
-        table = pa.table({k: pa.array([r[j] for r in rows], pa.int64()) for j, k in enumerate(["key", "doc_id", "row_mark", "at"])})
-        got = [r for b in substring_dedup._shared(iter(table.to_batches(max_chunksize=rng.choice([1, 2, 7, 100]))), most) for r in b.to_pylist()]
-        runs = defaultdict(list)
-        for r in rows:
-            runs[r[0]].append(r)
-        expected = [(r[3], i // most, len(run) > most) for run in runs.values() if len({r[1] for r in run}) > 1 for i, r in enumerate(run)]
-        assert sorted((r["at"], r["chunk"], r["large"]) for r in got) == sorted(expected)
-
-
 def test_words_and_hashes_match_plain_python():
     texts = ["", " ", "a", " a b\tc\n", "é ſ 日本", "A b" * 50, "x\x85y z"]
     column = pa.array(texts)
