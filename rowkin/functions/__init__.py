@@ -1,0 +1 @@
+"""Column functions: text, addresses, string similarities."""

@@ -1,0 +1 @@
+"""Table operators: blocking, transliteration, training sets, pair features."""

@@ -1,0 +1 @@
+"""Readers and writers of tab-separated tables."""

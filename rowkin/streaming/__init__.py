@@ -1,0 +1 @@
+"""No streams: the engine's work is batch record linkage, so nothing here holds state between batches."""
