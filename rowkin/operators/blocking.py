@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.operators.sampling import first_by_hash, hash_order
+
 FIT_SAMPLE = 1_000_000
 
 
@@ -32,8 +34,7 @@ def gram_table(rows: DataFrame, parts: list[str], side: str) -> DataFrame:
 
 def fit_rows(records: DataFrame, size: int = FIT_SAMPLE, seed: int = 0) -> DataFrame:
     """Records whose grams fit the vocabulary: per country the ``size`` smallest hashes; all, if there are fewer."""
-    order = Window.partitionBy("country").orderBy(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit(str(seed)))), "id")
-    return records.withColumn("nth_", F.row_number().over(order)).filter(F.col("nth_") <= size).drop("nth_")
+    return first_by_hash(records, hash_order("id", seed=seed), F.lit(size))
 
 
 def inverse_frequency(grams: DataFrame, n: DataFrame) -> DataFrame:

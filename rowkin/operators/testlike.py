@@ -7,19 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowkin.functions import text
+from rowkin.operators.sampling import SEED, first_by_hash, hash_order, uniform
 from rowkin.operators.translit import first_number
 
-SEED = 3407
-
-
-def hash_order(*columns: str, seed: int = SEED):
-    """A reproducible random order key that DuckDB computes alike."""
-    return F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in columns], F.lit(str(seed))))
-
-
-def uniform(*columns: str, seed: int = SEED):
-    """A reproducible number from 0 to 1 for each row: the first 8 hexadecimal digits of the order key."""
-    return F.conv(F.substring(hash_order(*columns, seed=seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def twins(s1: DataFrame, cap: int = 200) -> DataFrame:
@@ -60,19 +50,10 @@ def n_to_delete(s1_train: int, others_train: int, s1_test: int, others_test: int
 
 
 def random_deletions(s1: DataFrame, pairs: DataFrame, counts: DataFrame, seed: int = SEED) -> DataFrame:
-    """country, id of random rows outside every twin pair, ``n_random`` (country, n_random) in each country, by hash order.
-
-    The order is per country in two levels, hash ranges first, so no country is sorted in one task.
-    """
+    """country, id of random rows outside every twin pair, ``n_random`` (country, n_random) in each country, by hash order."""
     twin = pairs.select("country", "id").unionByName(pairs.select("country", F.col("id_b").alias("id"))).distinct()
-    free = s1.select("country", F.col("entity_id").alias("id")).join(twin, ["country", "id"], "left_anti")
-    keyed = free.withColumn("order_", hash_order("country", "id", seed=seed)).withColumn("range_", F.substring("order_", 1, 2))
-    sizes = keyed.groupBy("country", "range_").agg(F.count("*").alias("n_"))
-    ahead = Window.partitionBy("country").orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("country", "range_", F.coalesce(F.sum("n_").over(ahead), F.lit(0)).alias("ahead_"))  # 256 rows a country
-    nth = F.row_number().over(Window.partitionBy("country", "range_").orderBy("order_", "id"))
-    ranked = keyed.withColumn("nth_", nth).join(sizes, ["country", "range_"]).join(counts, "country")
-    return ranked.filter(F.col("nth_") + F.col("ahead_") <= F.col("n_random")).select("country", "id")
+    free = s1.select("country", F.col("entity_id").alias("id")).join(twin, ["country", "id"], "left_anti").join(counts, "country")
+    return first_by_hash(free, hash_order("country", "id", seed=seed), F.col("n_random")).select("country", "id")
 
 
 def deletions(s1: DataFrame, counts: DataFrame, cap: int = 200, seed: int = SEED) -> DataFrame:
