@@ -63,7 +63,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, most: int = 4 << 20):
+def hashed_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, most: int = 1 << 20):
     """(word hashes, row of each word, starts, ends). Long rows are hashed in parts cut between words."""
     starts, ends, rows = word_spans(data, offsets)
     values = LOWER_VALUES if lower else BYTE_VALUES
