@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import _words
-from rowkin.llm._io import pieces, stage, utf8
+from rowkin.llm._io import pieces, release, stage, utf8
 
 CHUNK_BYTES = 4 << 20
 #: Words whose terms are counted in one hash partition, about.
@@ -111,6 +111,7 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append((chunk, keys, counts))
     if rows:
         yield answer(part, rows)
+    release()
 
 
 def with_totals(chunks: DataFrame, terms: Terms, n_words: int) -> DataFrame:
@@ -135,3 +136,4 @@ def chunks_with_totals(batches: Iterator[pa.RecordBatch]):
                 totals.append(blob)
             else:
                 yield *unpack(blob, n), np.concatenate([np.zeros(0, np.uint64), *(from_planes(t, np.uint64) for t in totals)])
+    release()
