@@ -83,6 +83,6 @@ def p_short(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents_as_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(Source 1, records): documents named by their first 60 characters, one country per language."""
-    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as entity_id", "lang as country", "substr(text, 1, 60) as business_name")
+    """(Source 1, records): documents named by their whole text, one country per language."""
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id as entity_id", "lang as country", "text as business_name")
     return docs.filter("entity_id % 4 = 0"), docs.filter("entity_id % 4 <> 0")
