@@ -1,7 +1,7 @@
 """HTML main text (7) by consensus host paths.
 
-Every page scores its containers by the share of running text they hold and votes on their generalised paths (tags with
-classes, numbers blanked). Spark sums the votes per host, and each host's winning path is where all its pages are read again.
+Every page votes for the deepest generalised path (tags with classes, numbers blanked) whose containers hold all of its running
+text. Spark sums the votes per host, and each host's winning path is where all its pages are read again.
 Pages of a host are laid out alike, so a page whose own evidence is thin follows the rest of its host.
 """
 
@@ -146,8 +146,8 @@ class Page:
             yield at
             at = self.parents[at]
 
-    def scores(self) -> dict[str, float]:
-        """For each path that holds half of the page's running text or more: its share, deeper paths a little ahead."""
+    def best(self) -> str | None:
+        """The deepest path that holds all of the page's running text (ties to the greater path); None without such text."""
         held: dict[str, int] = {}
         total = 0
         for at, words, linked, kept in self.blocks:
@@ -156,15 +156,13 @@ class Page:
                 total += n
                 for path in {self.paths[i] for i in self.inside(at)}:
                     held[path] = held.get(path, 0) + n
-        deepest = max((p.count("/") for p in held), default=0) or 1
-        return {p: n / total + 0.1 * p.count("/") / deepest for p, n in held.items() if total and 2 * n >= total}
+        return max((p for p, n in held.items() if total and n == total), key=lambda p: (p.count("/"), p), default=None)
 
     def extract(self, path: str | None) -> str:
         """Kept blocks below ``path``; where the page has no such path, below its own best one."""
         for wanted in (path, None):
             if wanted is None:
-                scores = self.scores()
-                wanted = max(scores, key=lambda p: (scores[p], p), default="")
+                wanted = self.best() or ""
             out = [words for at, words, _, kept in self.blocks if kept and any(self.paths[i] == wanted for i in self.inside(at))]
             if out:
                 return "\n".join(out)
@@ -174,13 +172,14 @@ class Page:
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "html"):
-            votes: dict[tuple[str, str], float] = {}
+            votes: dict[tuple[str, str], int] = {}
             for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                for path, score in Page(text or "").scores().items():
-                    votes[host, path] = votes.get((host, path), 0.0) + score
+                path = Page(text or "").best()
+                if path is not None:
+                    votes[host, path] = votes.get((host, path), 0) + 1
             if votes:
                 hosts, paths = zip(*votes, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), pa.array(votes.values(), pa.float64())], ["host", "path", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +197,11 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with the highest sum of votes on each host (ties to the greater path)."""
+    """host, path: the path with most votes on each host (ties to the path that holds more, as it is less deep, then to the greater)."""
     votes = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = votes.mapInArrow(_votes, "host string, path string, score double").groupBy("host", "path").agg(F.round(F.sum("score"), 6).alias("score"))
-    return votes.groupBy("host").agg(F.max(F.struct("score", "path")).alias("best")).select("host", "best.path")
+    votes = votes.mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+    depth = F.length(F.regexp_replace("path", "[^/]", ""))
+    return votes.groupBy("host").agg(F.max(F.struct("votes", (-depth).alias("height"), "path")).alias("best")).select("host", "best.path")
 
 
 def extract(pages: DataFrame) -> DataFrame:
