@@ -54,7 +54,7 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to) ->
         f"WARC-Date: {STAMP}",
         f"WARC-Target-URI: {header_text(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"X-Page-Id: {page_id}",
+        *([f"X-Page-Id: {page_id}"] if page_id is not None else []),
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http;msgtype=response",
     ]
@@ -124,7 +124,8 @@ def first_of_equals(pages: DataFrame) -> DataFrame:
 def write(pages: DataFrame, folder: str | None = None) -> tuple[str, DataFrame]:
     """Write pages (page_id, url, html) as archives; returns their folder and the index (staged Parquet).
 
-    Null html is an empty payload, null urls are empty headers, other columns are ignored; rows that repeat a page_id give a
+    Null html is an empty payload, null urls are empty headers, a null page_id has no header, is read back as null and is always
+    a response; other columns are ignored; rows that repeat a page_id give a
     record each, all responses if the payload's smallest page_id is their own.
     """
     spark = pages.sparkSession
@@ -164,8 +165,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
                     stored = headers["WARC-Type"] == "response"
                     digest = hashlib.sha256(payload).hexdigest() if stored else headers["WARC-Payload-Digest"].removeprefix("sha256:")
                     size = len(payload) if stored else int(headers["X-Payload-Length"])
-                    other = headers.get("X-Refers-To-Page-Id")
-                    rows.append((int(headers["X-Page-Id"]), size, digest, headers["WARC-Type"], int(other) if other else None, payload if payloads else None))
+                    own, other = headers.get("X-Page-Id"), headers.get("X-Refers-To-Page-Id")
+                    rows.append((int(own) if own else None, size, digest, headers["WARC-Type"], int(other) if other else None, payload if payloads else None))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
                 fields = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
                 keep = 6 if payloads else 5
