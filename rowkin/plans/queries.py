@@ -239,7 +239,8 @@ def plain_clean(name):
 
 @query
 def grams(spark, sf_dir):
-    return blocking.gram_table(document_grams(spark, sf_dir)[0], ["n"], "s").select("id", "gram", "tf")
+    s1, records = document_grams(spark, sf_dir)
+    return blocking.gram_table(s1.unionByName(records), ["n"], "s").select("id", "gram", "tf")
 
 
 @query
