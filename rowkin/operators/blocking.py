@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from rowkin.operators.sampling import first_by_hash, hash_order
 
-FIT_SAMPLE = 1_000_000
-
 
 def trigrams(cleaned: Column) -> Column:
     """3-character windows of each word padded with one space on both sides, repeats kept."""
@@ -32,9 +30,9 @@ def gram_table(rows: DataFrame, parts: list[str], side: str) -> DataFrame:
     return reduce(DataFrame.unionByName, tables).groupBy("country", "part", "side", "id", "gram").agg(F.count("*").alias("tf"))
 
 
-def fit_rows(records: DataFrame, size: int = FIT_SAMPLE, seed: int = 0) -> DataFrame:
-    """Records whose grams fit the vocabulary: per country the ``size`` smallest hashes; all, if there are fewer."""
-    return first_by_hash(records, hash_order("id", seed=seed), F.lit(size))
+def fit_rows(records: DataFrame, size: int | None = None, seed: int = 0) -> DataFrame:
+    """Records whose grams fit the vocabulary: all, or per country the ``size`` smallest hashes."""
+    return records if size is None else first_by_hash(records, hash_order("id", seed=seed), F.lit(size))
 
 
 def inverse_frequency(grams: DataFrame, n: DataFrame) -> DataFrame:
@@ -51,11 +49,11 @@ def weights(grams: DataFrame, idf: DataFrame) -> DataFrame:
     return own.select("country", "part", "side", "id", "gram", (F.col("w") / norm).alias("w"))
 
 
-def vectors(s1: DataFrame, records: DataFrame, parts: list[str], sample: int = FIT_SAMPLE) -> DataFrame:
-    """Weights of both sides (side s and r), fitted on Source 1 and a bounded sample of the records."""
+def vectors(s1: DataFrame, records: DataFrame, parts: list[str], sample: int | None = None) -> DataFrame:
+    """Weights of both sides (side s and r), fitted on Source 1 and all records, or ``sample`` records of each country."""
     ours, theirs = gram_table(s1, parts, "s"), gram_table(records, parts, "r")
     fitted = fit_rows(records.select("country", "id"), sample)
-    fit = ours.unionByName(theirs.join(fitted, ["country", "id"], "left_semi").select(*ours.columns))
+    fit = ours.unionByName(theirs if sample is None else theirs.join(fitted, ["country", "id"], "left_semi").select(*ours.columns))
     n = s1.select("country").unionByName(fitted.select("country")).groupBy("country").agg(F.count("*").alias("n"))
     return weights(ours.unionByName(theirs), inverse_frequency(fit, n))
 
@@ -80,10 +78,11 @@ def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
-def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, sample: int = FIT_SAMPLE) -> DataFrame:
+def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, sample: int | None = None) -> DataFrame:
     """country, rec_id, cand_id, rank, score and cosines of every record's k best Source 1 rows.
 
-    Records with equal texts share one search: their distinct texts go through the join, and its rows are dealt back.
+    Records with equal texts share one search: their distinct texts go through the join, and its rows are dealt back. Document
+    frequencies count all records, or ``sample`` of each country.
     """
     texts = records.withColumn("text_", F.sha2(F.concat_ws("\u0001", "country", *[F.coalesce(F.col(p), F.lit("")) for p in parts]), 256))
     ours = s1.select("country", F.col("id").cast("string").alias("id"), *parts)
@@ -92,7 +91,8 @@ def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, s
     grams = gram_table(ours, parts, "s").unionByName(gram_table(first.select("country", "id", *parts), parts, "r"))
     fitted = fit_rows(every.select("country", "id"), sample)
     # document frequency counts every text, so grams of a distinct text weigh as often as it stands in the fit set
-    times = every.join(fitted, ["country", "id"], "left_semi").groupBy("country", "text_").agg(F.count("*").alias("times"))
+    fit = every if sample is None else every.join(fitted, ["country", "id"], "left_semi")
+    times = fit.groupBy("country", "text_").agg(F.count("*").alias("times"))
     weight = first.join(times, ["country", "text_"], "left").select("country", F.col("id"), F.lit("r").alias("side"), F.coalesce("times", F.lit(0)).alias("times"))
     counted = grams.join(weight, ["country", "side", "id"], "left").withColumn("times", F.when(F.col("side") == "s", 1).otherwise(F.col("times")))
     df = counted.groupBy("country", "part", "gram").agg(F.sum("times").alias("df")).filter("df >= 2")
