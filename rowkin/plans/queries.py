@@ -610,7 +610,7 @@ def model_rows(spark, sf_dir) -> DataFrame:
 def model_cheap_trim(spark, sf_dir):
     from rowkin.plans import models
 
-    return models.trimmed(model_rows(spark, sf_dir), rounds=5, least=5).select("rec_id", "cand_id", "train", "cheap", "keep")
+    return models.trimmed(model_rows(spark, sf_dir)).select("rec_id", "cand_id", "train", "cheap", "keep")
 
 
 @query
@@ -628,7 +628,7 @@ def model_text_scorer(spark, sf_dir):
 
     s1, records = (d.withColumn("country", F.lit("XX")) for d in (fixtures.p_s1(spark, sf_dir), fixtures.p_ot(spark, sf_dir)))
     rows = pipeline.pair_texts(model_rows(spark, sf_dir).select("country", "rec_id", "cand_id", "y", "train"), s1, records)
-    return models.text_scorer(buckets=256, iterations=5)(rows.filter("train"))(rows, "second").select("rec_id", "cand_id", "second")
+    return models.text_scorer()(rows.filter("train"))(rows, "second").select("rec_id", "cand_id", "second")
 
 
 @query
