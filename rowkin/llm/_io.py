@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +44,21 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with more than one in this many of all rows is hot; there are fewer hot keys than this.
+HOT_SHARE = 4096
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str], total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``, which has one row per key and the number ``n`` of the key's rows among ``total``.
+
+    Hot keys, fewer than HOT_SHARE by their definition, are broadcast; the others meet in a shuffle in which no key has more
+    than one in HOT_SHARE of all rows. ``rows`` is read three times, so it should be a stage table.
+    """
+    hot = F.broadcast(counted.filter(F.col("n") * HOT_SHARE > total))
+    cold = rows.join(hot.select(*on), on, "left_anti").join(counted.filter(F.col("n") * HOT_SHARE <= total), on)
+    return rows.join(hot, on).unionByName(cold)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -87,11 +87,15 @@ def ngram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out *= GRAM_BASE
-        out += words[j : j + n]
-    return mix(out)
+    out, done = np.zeros(n, np.uint64), 0
+    block, have, base = words, 1, GRAM_BASE  # polynomials of 1, 2, 4, ... words and the base to that power
+    while True:
+        if k & have:
+            out = out * base + block[done : done + n]
+            done += have
+        if have * 2 > k:
+            return mix(out)
+        block, have, base = block[:-have] * base + block[have:], have * 2, np.uint64(int(base) ** 2 & 0xFFFFFFFFFFFFFFFF)
 
 
 def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,33 +1,39 @@
 """Substring dedup (3) with prefix-partitioned suffix trees.
 
 A repeat of at least ``window`` words is an internal node of the suffix tree whose string depth reaches the window. Only
-suffixes that can lie below such a node are put into trees: every window has one anchor, the 8-word prefix of least hash in
-it, so equal windows have equal anchors, and anchors that stand in one document alone are dropped before any text moves.
-Windows are then partitioned by their anchor's prefix. Each task builds the subtrees of its prefixes level by level: node
-numbers at depth 1, 2, 4, ... words come from pairs of nodes at half the depth, and leaves that are alone leave early. Nodes at
-full depth that hold several documents are the repeats. A prefix under which too many anchors gather is dealt in chunks that
-fit in memory: each chunk's subtree decides what it can, and only its first document of each node goes on under the longest
-prefix there is, the whole window, where a subtree is one node and a minimum over chunks decides.
+suffixes that can lie below such a node matter: every window has one anchor, the 8-word prefix of least hash in it, so equal
+windows have equal anchors, and the windows around one anchor make a region that goes into one tree.
+
+* Anchors whose prefix stands in one document alone are dropped before any text moves.
+* Regions that are equal to their ends are one leaf: all but those of the smallest document repeat it, whatever the tree says.
+* The leaves are partitioned by their prefix. A prefix with more leaves than a task should hold is lengthened: the places that
+  the anchor can take in a window are halved, and each half shares more words (8, 29, 40, 45, 48, 50 for windows of 50), so
+  leaves part as soon as their words do. At full length a partition is one node, and equal leaves are one leaf again.
+* Each task builds the subtrees of its prefixes level by level: node numbers at depth 1, 2, 4, ... words come from pairs of
+  nodes at half the depth, and leaves that are alone leave early. Nodes at full depth that hold several documents are repeats.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import _words
-from rowkin.llm._io import pieces, stage, utf8
+from rowkin.llm._io import join_counted, pieces, remove, stage, utf8
 
 WINDOW = 50
 PREFIX = 8
-#: Words whose subtrees a task builds at once, and anchors (of about 70 words) under one prefix in one chunk.
+#: Words whose subtrees a task builds at once, and leaves (of at most 92 words) under one prefix before it is lengthened.
 TREE_WORDS, GROUP = 1 << 20, 1 << 14
 PLACE = np.uint64((1 << 28) - 1)
+SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -57,41 +63,95 @@ def anchors(words: np.ndarray, rows: np.ndarray, window: int, prefix: int):
     return grams[at[heads]], rows[starts[heads]], starts[heads], starts[np.append(heads[1:], len(at)) - 1] if len(heads) else none, at[heads]
 
 
-def _anchored(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            words, rows, _, _ = _words.hashed_words(*utf8(batch.column("text")))
-            key, row, _, _, at = anchors(words, rows, window, prefix)
-            begin = _words.row_bounds(rows, batch.num_rows)
-            ids, marks = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_mark"))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), ids, marks, pa.array((at - begin[row]).astype(np.int64))], ["key", "doc_id", "row_mark", "at"])
+def whole_hashes(first: np.ndarray, last: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Hash of a region from those of its first and last window, which cover it, as windows around an anchor overlap."""
+    return _words.mix(first + _words.mix(last ^ SECOND) + windows.astype(np.uint64))
 
 
-REGION = "key long, chunk int, large boolean, doc_id long, row_mark long, start long, windows long, words string"
+NODE = "key long, whole long, doc_id long, row_mark long, starts array<int>, windows int, shift int, low int, high int"
+NODE_NAMES = [f.split()[0] for f in NODE.split(", ")]
 
 
-def _regions(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
-    """For each shared anchor of a text its windows and the words they span."""
-    for whole in batches:
-        for batch in pieces(whole, "text"):
-            data, offsets = utf8(batch.column("text"))
-            words, rows, starts, ends = _words.hashed_words(data, offsets)
-            key, row, first, last, at = anchors(words, rows, window, prefix)
-            begin = _words.row_bounds(rows, batch.num_rows)
-            listed = batch.column("places")
-            size = np.array(listed.value_lengths().fill_null(0))
-            wanted = listed.flatten()
-            place = np.repeat(begin[:-1], size) + wanted.field("at").to_numpy()
-            order = np.argsort(place)
-            found = np.minimum(np.searchsorted(place[order], at), max(len(place) - 1, 0))
-            keep = place[order][found] == at if len(place) else np.zeros(len(at), bool)
-            key, row, first, last, which = key[keep], row[keep], first[keep], last[keep], order[found[keep]] if len(place) else found[:0]
-            text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last + window - 1], strict=True)]
-            fields = [
-                pa.array(key.view(np.int64)), wanted.field("chunk").take(pa.array(which)), wanted.field("large").take(pa.array(which)),
-                *(batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_mark")), pa.array(first - begin[row]), pa.array(last - first + 1), pa.array(text, pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(fields, [f.split()[0] for f in REGION.split(", ")])
+def _anchored(batches: Iterator[pa.RecordBatch], window: int, prefix: int) -> Iterator[pa.RecordBatch]:
+    """The distinct regions of each text, with the first words of all their places."""
+    for batch in (b for whole in batches for b in pieces(whole, "text")):
+        words, rows, _, _ = _words.hashed_words(*utf8(batch.column("text")))
+        key, row, first, last, at = anchors(words, rows, window, prefix)
+        begin = _words.row_bounds(rows, batch.num_rows)
+        hashes = _words.ngram_hashes(words, window)
+        equal = whole_hashes(hashes[first], hashes[last], last - first + 1)
+        order = np.lexsort((first, equal, key, row))
+        key, row, first, last, at, equal = (x[order] for x in (key, row, first, last, at, equal))
+        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]) | (equal[1:] != equal[:-1]))[: len(key)])
+        starts = pa.ListArray.from_arrays(pa.array(np.append(heads, len(key)).astype(np.int32)), pa.array((first - begin[row]).astype(np.int32)))
+        yield pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(x[heads].view(np.int64)) for x in (key, equal)), *(batch.column(c).take(pa.array(row[heads])) for c in ("doc_id", "row_mark")), starts,
+                *(pa.array(x.astype(np.int32)) for x in ((last - first + 1)[heads], (at - first)[heads], np.zeros(len(heads)), np.full(len(heads), window - prefix))),
+            ],
+            NODE_NAMES,
+        )
+
+
+def hashes_at(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each start."""
+    out = np.zeros(len(starts), np.uint64)
+    for j in range(n):
+        out = out * _words.GRAM_BASE + words[starts + j]
+    return _words.mix(out)
+
+
+def _placed(batch: pa.RecordBatch):
+    """(text bytes, starts and ends of words, their hashes, places, row of each place, first word of each place) of texts with places."""
+    data, offsets = utf8(batch.column("text"))
+    words, rows, starts, ends = _words.hashed_words(data, offsets)
+    listed = batch.column("places")
+    row, places = np.repeat(np.arange(batch.num_rows), np.array(listed.value_lengths().fill_null(0))), listed.flatten()
+    return data, starts, ends, words, places, row, _words.row_bounds(rows, batch.num_rows)[row] + pc.list_element(places.field("starts"), 0).to_numpy()
+
+
+def moved(lists: pa.ListArray, by: np.ndarray) -> pa.ListArray:
+    """Every list with its own number added to all its values."""
+    size = np.array(lists.value_lengths())
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array((lists.flatten().to_numpy() + np.repeat(by, size)).astype(np.int32)))
+
+
+def _lengthened(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The leaves of large prefixes, each as two leaves of longer prefixes: the windows that hold the anchor early, and late."""
+    for batch in (b for whole in batches for b in pieces(whole, "text")):
+        _, _, _, words, places, row, first = _placed(batch)
+        windows, shift, low, high = (places.field(c).to_numpy().astype(np.int64) for c in ("windows", "shift", "low", "high"))
+        middle = (low + high) // 2
+        for lo, hi in ((low, middle), (middle + 1, high)):
+            head, tail = np.maximum(shift - hi, 0), np.minimum(shift - lo, windows - 1)
+            some = np.flatnonzero((head <= tail) & (lo <= hi))
+            lo, hi, head, tail, at, r = lo[some], hi[some], head[some], tail[some], first[some], row[some]
+            key = np.zeros(len(some), np.uint64)
+            for n in np.unique(hi - lo):  # words that all windows with the anchor at lo to hi share
+                own = np.flatnonzero(hi - lo == n)
+                key[own] = hashes_at(words, (at + shift[some] - lo)[own], window - int(n))
+            key = _words.mix(key ^ (lo * 65536 + hi).astype(np.uint64))
+            equal = whole_hashes(hashes_at(words, at + head, window), hashes_at(words, at + tail, window), tail - head + 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(pa.array(x.view(np.int64)) for x in (key, equal)), *(batch.column(c).take(pa.array(r)) for c in ("doc_id", "row_mark")),
+                    moved(places.field("starts").take(pa.array(some)), head), *(pa.array(x.astype(np.int32)) for x in (tail - head + 1, shift[some] - head, lo, hi)),
+                ],
+                NODE_NAMES,
+            )
+
+
+REGION = "key long, doc_id long, row_mark long, starts array<int>, words string"
+
+
+def _regions(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The words of each leaf."""
+    for batch in (b for whole in batches for b in pieces(whole, "text")):
+        data, starts, ends, _, places, row, first = _placed(batch)
+        last = first + places.field("windows").to_numpy() + window - 2
+        text = [data[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(starts[first], ends[last], strict=True)]
+        ids = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_mark")]
+        yield pa.RecordBatch.from_arrays([places.field("key"), *ids, places.field("starts"), pa.array(text, pa.string())], [f.split()[0] for f in REGION.split(", ")])
 
 
 def nodes_at_depth(symbols: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,20 +176,18 @@ def nodes_at_depth(symbols: np.ndarray, room: np.ndarray, depth: int) -> tuple[n
         at = at[~alone]
 
 
-DECIDED = "doc_id long, row_mark long, start long, end long, node long, node_2 long"
+COVERED = "doc_id long, row_mark long, starts array<int>, begin int, stop int"
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, chunk): word ranges that repeat a document of smaller doc_id (node null), and of large prefixes
-    the windows that a smaller document of another chunk may still hold (node: their hash)."""
+    """Rows sorted by key: the ranges of words, from a leaf's first, that repeat a document of smaller doc_id."""
 
     def grown(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held).combine_chunks()
         words, owner, _, _ = _words.hashed_words(*utf8(rows["words"]))
         bounds = _words.row_bounds(owner, rows.num_rows)
         suffix, node = nodes_at_depth(words, bounds[owner + 1] - np.arange(len(words)), window)
-        docs = rows["doc_id"].to_numpy()
-        doc = docs[owner[suffix]]
+        doc = rows["doc_id"].to_numpy()[owner[suffix]]
         order = np.argsort(node, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(node[order]) > 0)) if len(order) else order
         least = np.minimum.reduceat(doc[order], heads) if len(heads) else doc
@@ -138,60 +196,68 @@ def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         repeats = np.sort(suffix[doc > smallest])
         head = np.append(True, (np.diff(repeats) > 1) | (np.diff(owner[repeats]) > 0))[: len(repeats)]
         first, last = repeats[head], repeats[np.append(head[1:], True)[: len(repeats)]]
-        # windows of large prefixes that nothing in this chunk repeats go on
-        open_ = np.flatnonzero(rows["large"].to_numpy(zero_copy_only=False))
-        each = rows["windows"].to_numpy()[open_]
-        rest = np.repeat(bounds[open_] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        rest = rest[~np.isin(rest, repeats)]
-        one, two = (_words.ngram_hashes(w, window) for w in (words, _words.mix(words ^ np.uint64(0x2545F491)))) if len(rest) else (words[:0], words[:0])
-        at, stop = np.concatenate([first, rest]), np.concatenate([last, rest])
-        own = owner[at]
-        begin = rows["start"].to_numpy()[own] - bounds[own]
-        none = np.arange(len(at)) < len(first)
-        nodes = [pa.array(np.concatenate([np.zeros(len(first), np.int64), h[rest].view(np.int64)]), mask=none) for h in (one, two)]
-        return pa.RecordBatch.from_arrays(
-            [*(rows[c].combine_chunks().take(pa.array(own)) for c in ("doc_id", "row_mark")), pa.array(at + begin), pa.array(stop + begin + window), *nodes],
-            [f.split()[0] for f in DECIDED.split(", ")],
-        )
+        own = owner[first]
+        kept = [rows[c].combine_chunks().take(pa.array(own)) for c in ("doc_id", "row_mark", "starts")]
+        ranges = [pa.array((x - bounds[own]).astype(np.int32)) for x in (first, last + window)]
+        return pa.RecordBatch.from_arrays([*kept, *ranges], [f.split()[0] for f in COVERED.split(", ")])
 
     held, size = [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key, chunk = batch.column("key").to_numpy(), batch.column("chunk").to_numpy()
-        new = np.append(True, (key[1:] != key[:-1]) | (chunk[1:] != chunk[:-1]))
+    for batch in (b for whole in batches for b in pieces(whole, "words")):
+        key = batch.column("key").to_numpy()
+        new = np.append(True, key[1:] != key[:-1])
         if held:
-            new[0] = (held[-1].column("key")[-1].as_py(), held[-1].column("chunk")[-1].as_py()) != (key[0], chunk[0])
-        length = batch.column("windows").to_numpy() + window
+            new[0] = held[-1].column("key")[-1].as_py() != key[0]
         at = 0
         for head in np.flatnonzero(new).tolist():
-            if size + length[at:head].sum() >= TREE_WORDS:
+            if size + (head - at) * 2 * window >= TREE_WORDS:
                 yield grown([*held, batch.slice(at, head - at)])
                 held, size, at = [], 0, head
         held.append(batch.slice(at))
-        size += int(length[at:].sum())
+        size += (len(key) - at) * 2 * window
     if held:
         yield grown(held)
 
 
+def _met(nodes: DataFrame, keys: list[str], *more) -> DataFrame:
+    """``nodes`` with the least and greatest doc_id and the number of rows of their keys, however many rows one key has."""
+    own = nodes.groupBy(*keys).agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
+    for condition in more:
+        own = own.filter(condition)
+    return join_counted(nodes, own, keys, nodes.count())
+
+
 def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, row_mark, start, end: ranges of words covered by windows that also start in a document of smaller doc_id."""
-    marks = own.filter("doc_id is not null").mapInArrow(lambda it: _anchored(it, window, prefix), "key long, doc_id long, row_mark long, at long")
-    # keys in two documents or more, by map-side counts and a join that can be split, however many rows one key has
-    several = marks.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).filter("least < most")
-    several = several.select("key", F.ceil(F.col("n") / GROUP).cast("int").alias("chunks"))
-    shared = marks.join(several, "key").select(
-        "doc_id", "row_mark", "at", F.pmod(F.xxhash64("doc_id", "at"), F.col("chunks")).cast("int").alias("chunk"), (F.col("chunks") > 1).alias("large")
-    )
-    places = shared.groupBy("doc_id", "row_mark").agg(F.collect_set(F.struct("at", "chunk", "large")).alias("places"))  # bounded by one text
-    regions = own.join(places, ["doc_id", "row_mark"]).mapInArrow(lambda it: _regions(it, window, prefix), REGION)
-    regions = regions.repartition("key", "chunk").sortWithinPartitions("key", "chunk")
-    decided = stage(regions.mapInArrow(lambda it: _subtrees(it, window), DECIDED), "decided")
-    open_ = decided.filter("node is not null")
-    first = open_.groupBy("node", "node_2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
-    covered = open_.join(first, ["node", "node_2"]).filter("doc_id > least")
-    names = ["doc_id", "row_mark", "start", "end"]
-    return decided.filter("node is null").select(*names).unionByName(covered.select(*names))
+    """doc_id, row_mark, start, end: ranges of words covered by windows that also start in a document of smaller doc_id.
+
+    Prefixes are lengthened in rounds, each of which reads only texts with leaves of large prefixes; a window of 50 has 7 at most.
+    """
+    texts = own.filter("doc_id is not null")
+
+    def with_places(leaves: DataFrame) -> DataFrame:  # as many as one text has room for
+        return texts.join(leaves.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct(*NODE_NAMES)).alias("places")), ["doc_id", "row_mark"])
+
+    nodes = stage(texts.mapInArrow(lambda it: _anchored(it, window, prefix), NODE), "anchors")
+    found = []
+    while True:
+        shared = stage(_met(nodes, ["key"], "least < most").select(*NODE_NAMES), "shared")
+        leaves = stage(_met(shared, ["key", "whole"]).select(*NODE_NAMES, "least"), "leaves")
+        copied = leaves.filter("doc_id > least").select(*COPIED, F.lit(0).alias("begin"), (F.col("windows") + window - 1).alias("stop"))
+        leaders = leaves.filter("doc_id = least").drop("least")
+        groups = stage(_met(leaders, ["key"], "least < most").select(*NODE_NAMES, (F.col("n") > GROUP).alias("large")), "groups")
+        regions = with_places(groups.filter("not large")).mapInArrow(lambda it: _regions(it, window), REGION)
+        covered = regions.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _subtrees(it, window), COVERED)
+        spans = copied.unionByName(covered).withColumn("start", F.explode("starts"))
+        found.append(stage(spans.select("doc_id", "row_mark", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("stop")).alias("end")), "found"))
+        large = groups.filter("large")
+        later = None if large.isEmpty() else stage(with_places(large).mapInArrow(lambda it: _lengthened(it, window), NODE), "anchors")
+        for done in (nodes, shared, leaves, groups):
+            remove(done)
+        if later is None:
+            return reduce(DataFrame.unionByName, found)
+        nodes = later
+
+
+COPIED = ["doc_id", "row_mark", "starts"]
 
 
 def covered_words(n: int, spans: list[dict]) -> np.ndarray:
@@ -202,17 +268,17 @@ def covered_words(n: int, spans: list[dict]) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _kept(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in pieces(whole, "text"):
             data, offsets = utf8(batch.column("text"))
             starts, ends, rows = _words.word_spans(data, offsets)
             bounds = _words.row_bounds(rows, batch.num_rows).tolist()
-            raw, spans, copies = data.tobytes(), batch.column("spans").to_pylist(), batch.column("copy").to_pylist()
+            raw, spans = data.tobytes(), batch.column("spans").to_pylist()
             counts, gone, out = [], [], []
             for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
                 text = raw[offsets[i] : offsets[i + 1]]
-                hit = np.full(b - a, copies[i] and b - a >= window) | covered_words(b - a, spans[i])
+                hit = covered_words(b - a, spans[i])
                 counts.append(b - a)
                 gone.append(int(hit.sum()))
                 if not texts:
@@ -234,16 +300,11 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, texts: bool) -> Iterat
 
 
 def _marked(docs: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Rows of doc_id, text (and rest) with the spans to remove, and whether the text copies that of a smaller doc_id."""
+    """Rows of doc_id, text (and rest) with the spans to remove."""
     rows = docs.withColumn("row_mark", F.xxhash64("doc_id", "text"))
-    plain = rows.select("doc_id", "row_mark", "text")
-    digests = plain.select("doc_id", "row_mark", F.md5("text").alias("digest")).filter("digest is not null and doc_id is not null")
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    copies = stage(digests.join(first, "digest").filter("doc_id > least").select("doc_id", "row_mark").distinct(), "copies")
-    spans = repeated_spans(plain.join(copies, ["doc_id", "row_mark"], "left_anti"), window, prefix)
-    spans = stage(spans.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
-    extra = spans.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "row_mark"], "full")
-    return rows.join(extra, ["doc_id", "row_mark"], "left").withColumn("copy", F.coalesce("copy", F.lit(False))).drop("row_mark")
+    found = repeated_spans(rows.select("doc_id", "row_mark", "text"), window, prefix)
+    spans = found.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return rows.join(spans, ["doc_id", "row_mark"], "left").drop("row_mark")
 
 
 def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
@@ -254,8 +315,8 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
     rows that repeat a doc_id give a row each and don't remove from each other; other columns are ignored.
     """
     marked = _marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), window, prefix)
-    return marked.select("doc_id", "text", "spans", "copy").mapInArrow(
-        lambda it: _kept(it, window, False), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return marked.select("doc_id", "text", "spans").mapInArrow(
+        lambda it: _kept(it, False), "doc_id long, n_words long, n_removed long, kept_sha256 string"
     )
 
 
@@ -264,8 +325,8 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX)
     others = [n for n in docs.columns if n != "text"]
     packed = docs.select(F.struct(*others).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = packed.schema["rest"].dataType.simpleString()
-    marked = _marked(packed, window, prefix).select("rest", "text", "spans", "copy")
-    out = marked.mapInArrow(lambda it: _kept(it, window, True), f"rest {kind}, text string").select("rest.*", "text")
+    marked = _marked(packed, window, prefix).select("rest", "text", "spans")
+    out = marked.mapInArrow(lambda it: _kept(it, True), f"rest {kind}, text string").select("rest.*", "text")
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -1,12 +1,16 @@
 """N-gram Jaccard join and substring dedup against brute force, with odd rows."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from rowkin.llm import _words, ngram_join, substring_dedup
+from rowkin.llm._io import stage
+
+from tests.llm.conftest import passage
 
 
 def words(text):
@@ -140,3 +144,21 @@ def test_words_and_hashes_match_plain_python():
     known = {}
     for h, a, b in zip(hashes.tolist(), starts, ends, strict=True):
         assert known.setdefault(h, raw[a:b]) == raw[a:b]
+
+
+def test_large_prefixes_are_lengthened(spark, monkeypatch):
+    """Passages of 30 to 70 words that many documents quote in words of their own, one long text that quotes them often, and copies."""
+    rng = random.Random(11)
+    shared = [passage(900 + i, n) for i, n in enumerate((30, 49, 50, 51, 60, 70))]
+    rows = []
+    for i in range(60):
+        parts = [passage(2000 + 7 * i, rng.randrange(0, 40)), *(f"{p} {passage(3000 + 11 * i + j, rng.randrange(0, 9))}" for j, p in enumerate(rng.sample(shared, 3)))]
+        rows.append((rng.randrange(1000), " ".join(parts)))
+    rows += [(5000, " ".join(p for _ in range(20) for p in rng.sample(shared, 6)))] + [(2000 - i, rows[0][1]) for i in range(8)] + [(rows[1][0], rows[2][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substring_dedup, "GROUP", 3)
+    rounds = []
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, name: rounds.append(name) or stage(df, name))
+    got = sorted((tuple(r) for r in substring_dedup.digests(docs).collect()), key=repr)
+    assert got == expected_digests(rows)
+    assert rounds.count("anchors") > 3  # prefixes grew more than twice
