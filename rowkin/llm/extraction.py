@@ -1,13 +1,17 @@
 """HTML main text (7) by consensus host paths.
 
-Every page votes for the deepest generalised path (tags with classes, numbers blanked) whose containers hold all of its running
-text. Spark sums the votes per host, and each host's winning path is where all its pages are read again.
-Pages of a host are laid out alike, so a page whose own evidence is thin follows the rest of its host.
+Every page scores its containers: a block of running text gives points for its length, punctuation and lack of links to the
+container it stands in, and less to those further out. From the best container a page goes outwards as long as what it gains
+is more of the article (the headline, paragraphs beside it), and votes once for that container's generalised path (tags with
+classes, numbers blanked). Spark sums the votes per host, and all pages of a host are read again at its winning path.
+
+What is left out inside that path rests on elements first (nav, footer, forms, lists of links, hidden ones). Words in classes,
+ids and roles are a weak prior: they don't hold against an element with most of the page's running text or with its article.
 """
 
 from __future__ import annotations
 
-import html
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,180 +19,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowkin.llm._io import pieces
-
-#: Copies of each host's path, so that pages of one host are read by many tasks.
-SALTS = 32
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",  # a tag with a quote that never closes
-    re.S,
-)
-NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-# HTML's element kinds
-RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math", "object"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-CONTAINERS = {"html", "body", "div", "section", "article", "main", "table", "tbody", "tr", "td", "center", "figure", "ul", "ol", "dl", "blockquote"}
-BLOCKS = CONTAINERS | {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "dd", "dt", "th", "hr", "header", "footer", "nav", "aside", "form", "fieldset", "address", "figcaption", "thead", "tfoot", "caption", "details", "summary", "head", "option", "select", "dialog", "menu", "legend", "label"}
-IMPLIED_END = {"p": {"p"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
-SCOPES = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body"}
-DROPPED = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "fieldset", "label", "header"}
-# Words in classes, ids and roles that mark what isn't the article
-BOILERPLATE = set("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar comment comments commentlist reply replies disqus respond cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager complementary contentinfo search skip form".split())
-ARTICLE = set("article content main post entry story text body".split())
-HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-
+from rowkin.llm import _markup
+from rowkin.llm._io import join_counted, pieces
 
-def is_boilerplate(tag: str, attrs: str) -> bool:
-    if tag in DROPPED:
-        return True
-    if not attrs or tag in ("html", "body", "main", "article"):
-        return False
-    words: set[str] = set()
-    for name, *values in NAMED.findall(attrs):
-        value, name = "".join(values), name.lower()
-        if name == "hidden" and not value or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name in ("class", "id", "role"):
-            words.update(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()))
-    return bool(words & BOILERPLATE) and not words & ARTICLE
+# Elements that never hold the article's text, and those that mostly don't
+NEVER = {"head", "nav", "footer", "button", "select", "option", "dialog", "menu", "search"}
+SELDOM = {"aside", "form", "fieldset", "label", "legend", "header"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+TEXTUAL = HEADINGS | {"p", "li", "pre", "dd", "dt", "td", "th", "blockquote", "figcaption", "address", "header", "hgroup"}
+# Words in classes, ids and roles that speak against an element (comments by readers more strongly)
+COMMENTS = set("comment comments commentlist reply replies disqus respond".split())
+BOILERPLATE = set("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead topbar cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations toolbar pagination pager complementary contentinfo search skip".split())
+ARTICLE = set("article content main post entry story text body".split())
+PUNCTUATION = re.compile(r"[.,;:!?…。、，；！？؟،।]")
+#: Longest path that is kept as it is; longer ones go by their digest.
+LONGEST_PATH = 1024
 
 
-def general(tag: str, attrs: str) -> str:
-    """Tag with its sorted classes, numbers blanked."""
-    found = next((m for m in NAMED.findall(attrs) if m[0].lower() == "class"), None) if attrs else None
-    names = sorted({re.sub(r"\d+", "#", c.lower()) for c in "".join(found[1:]).split()}) if found else []
-    return ".".join([tag, *names])
+def general(element: _markup.Element) -> str:
+    return ".".join([element.tag, *element.classes])
 
 
 class Page:
-    """Text blocks in page order and the containers they stand in."""
+    """Elements with what speaks for and against them, and the blocks that are kept."""
 
     def __init__(self, text: str):
-        self.paths, self.parents = [""], [-1]  # of containers; the first is the page itself
-        self.blocks: list[tuple[int, str, int, bool]] = []  # (container, text, characters in links, kept)
-        self._stack: list[tuple[str, int, bool, bool]] = [("", 0, True, False)]  # (tag, container, kept, in a link)
-        self._buffer: list[str] = []
-        self._linked = 0
-        self._read(text)
-
-    def _flush(self) -> None:
-        if self._buffer:
-            words = " ".join(html.unescape("".join(self._buffer)).split())
-            if words:
-                _, at, kept, _ = self._stack[-1]
-                self.blocks.append((at, words, self._linked, kept))
-            self._buffer, self._linked = [], 0
-
-    def _text(self, part: str) -> None:
-        if part:
-            self._buffer.append(part)
-            if self._stack[-1][3]:
-                self._linked += len(part.strip())
-
-    def _open(self, tag: str, attrs: str) -> None:
-        if tag in BLOCKS:
-            self._flush()
-            closes = IMPLIED_END.get(tag, {"p"} if tag != "p" else set()) | ({"p"} if tag not in ("option",) else set())
-            for i in range(len(self._stack) - 1, 0, -1):
-                if self._stack[i][0] in closes:
-                    del self._stack[i:]
-                    break
-                if self._stack[i][0] in SCOPES:
-                    break
-        elif tag == "br":
-            self._buffer.append(" ")
-        if tag in VOID:
-            return
-        _, at, kept, linked = self._stack[-1]
-        if kept and is_boilerplate(tag, attrs):
-            kept = False
-        elif not kept and tag in HEADINGS and self._stack[-1][0] == "header" and any(t in ("article", "main") for t, *_ in self._stack):
-            kept = True  # the article's own headline
-        if tag in CONTAINERS and kept:
-            self.paths.append(f"{self.paths[at]}/{general(tag, attrs)}")
-            self.parents.append(at)
-            at = len(self.paths) - 1
-        self._stack.append((tag, at, kept, linked or tag == "a"))
-
-    def _close(self, tag: str) -> None:
-        if tag in BLOCKS:
-            self._flush()
-        for i in range(len(self._stack) - 1, 0, -1):
-            if self._stack[i][0] == tag:
-                del self._stack[i:]
-                break
-            if tag not in BLOCKS and self._stack[i][0] in BLOCKS:
-                break  # an inline end never closes a block
-
-    def _read(self, text: str) -> None:
-        at = 0
-        while found := TOKEN.search(text, at):
-            self._text(text[at : found.start()])
-            at = found.end()
-            closing, tag, attrs = found.group(1, 2, 3) if found[2] else found.group(4, 5, 6)
-            if not tag:
+        tree = _markup.read(text)
+        self.elements, self.blocks = tree.elements, tree.blocks
+        n = len(self.elements)
+        self.running = [max(0, len(b.text) - 2 * b.linked) for b in self.blocks]
+        never = [False] * n
+        for i, e in enumerate(self.elements[1:], 1):
+            never[i] = never[e.parent] or e.hidden or e.tag in NEVER
+        held, length, linked, links, articles, paragraphs = ([0] * n for _ in range(6))  # of each element and all in it
+        for b, run in zip(self.blocks, self.running, strict=True):
+            paragraphs[b.at] += self.elements[b.at].tag in ("p", "pre", "blockquote", *HEADINGS)
+            if not never[b.at]:
+                held[b.at] += run
+            length[b.at] += len(b.text)
+            linked[b.at] += b.linked
+            links[b.at] += b.links
+        for i in range(n - 1, 0, -1):
+            e = self.elements[i]
+            articles[i] += e.tag in ("article", "main") and not e.words & (COMMENTS | BOILERPLATE)
+            for sums in (held, length, linked, links, articles, paragraphs):
+                sums[e.parent] += sums[i]
+        self.held, self.linked, self.length = held, linked, length
+        self.dropped = [False] * n
+        inside = [False] * n  # an article or main element
+        for i, e in enumerate(self.elements[1:], 1):
+            inside[i] = inside[e.parent] or e.tag in ("article", "main")
+            wraps = articles[i] > (e.tag in ("article", "main")) or 2 * held[i] > held[0] and (paragraphs[i] > 0 or held[i] >= 200)
+            suspect = e.tag in SELDOM and not (e.tag == "header" and inside[i]) or bool(e.words & BOILERPLATE)
+            menu = e.tag in ("ul", "ol") and links[i] >= 3 and linked[i] >= 0.8 * length[i]
+            comments = e.words & COMMENTS and not articles[i] and held[i] < held[0] and e.tag not in ("html", "body")
+            self.dropped[i] = never[i] or self.dropped[e.parent] or menu or bool(comments) or suspect and not wraps and e.tag not in ("html", "body", "main")
+        self.kept = [not self.dropped[b.at] for b in self.blocks]
+        self._container = list(range(n))
+        for i, e in enumerate(self.elements):
+            if i and (e.tag not in _markup.CONTAINERS or self.dropped[i]):
+                self._container[i] = self._container[e.parent]
+
+    def path(self, at: int) -> str:
+        """Generalised path of a container: the containers from the page to it."""
+        names = []
+        while at > 0:
+            if self.elements[at].tag in _markup.CONTAINERS:
+                names.append(general(self.elements[at]))
+            at = self.elements[at].parent
+        path = "".join(f"/{name}" for name in reversed(names))
+        return path if len(path) <= LONGEST_PATH else hashlib.sha256(path.encode("utf-8", "replace")).hexdigest()
+
+    def scores(self) -> dict[int, float]:
+        """Points of the containers that hold running text."""
+        points: dict[int, float] = {}
+        for b, run, kept in zip(self.blocks, self.running, self.kept, strict=True):
+            if not kept or not run or self.elements[b.at].tag in HEADINGS:
                 continue
-            tag = tag.lower()
-            if closing:
-                self._close(tag)
-            elif tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(text, at)
-                at = end.end() if end else len(text) if tag in ("script", "style", "textarea", "title") else at
-            else:
-                self._open(tag, attrs)
-        self._text(text[at:])
-        self._flush()
-
-    def inside(self, at: int) -> Iterator[int]:
-        while at >= 0:
-            yield at
-            at = self.parents[at]
+            worth = (1 + len(PUNCTUATION.findall(b.text)) + min(run / 100, 3)) * (1 - b.linked / len(b.text))
+            at, level = self._container[b.at], 0
+            while at >= 0 and level < 5:
+                points[at] = points.get(at, 0) + worth / (1, 2, 6, 9, 12)[level]
+                at, level = self._container[self.elements[at].parent] if at else -1, level + 1
+        for at in points:
+            e = self.elements[at]
+            prior = 1.25 if e.tag in ("article", "main") or e.words & ARTICLE else 1.0
+            points[at] *= prior * (0.5 if e.words & (BOILERPLATE | COMMENTS) else 1) * (1 - min(1, self.linked[at] / max(self.length[at], 1)))
+        return points
+
+    def _below(self, at: int) -> list[bool]:
+        """Which elements are ``at`` or stand in it."""
+        out = [False] * len(self.elements)
+        out[at] = True
+        for i in range(at + 1, len(out)):
+            out[i] = out[self.elements[i].parent]
+        return out
+
+    def _more_of_it(self, outer: int, inner: list[bool]) -> bool | None:
+        """Whether all that ``outer`` holds beside the inner container is more of the article; None if it holds nothing more."""
+        below = self._below(outer)
+        more = [i for i, b in enumerate(self.blocks) if self.kept[i] and below[b.at] and not inner[b.at]]
+        if not more:
+            return None
+        wide = self.elements[outer].tag in ("", "html", "body")
+        headline = any(self.elements[self.blocks[i].at].tag == "h1" for i in more)
+        if headline and not wide and 2 * sum(self.running[i] for i in more) <= self.held[outer] and 3 * self.linked[outer] <= self.length[outer]:
+            return True
+        names = {general(self.elements[i]) for i, e in enumerate(self.elements) if inner[i] and not inner[e.parent]}
+        for i in more:
+            b = self.blocks[i]
+            beside = self._container[b.at]
+            alike = beside == outer or general(self.elements[beside]) in names or self.elements[beside].tag in ("ul", "ol", "dl", "table", "tbody", "tr", "td", "blockquote", "figure")
+            if not alike or 2 * b.linked > len(b.text) or self.elements[b.at].tag not in TEXTUAL and not (len(b.text) >= 40 and PUNCTUATION.search(b.text)):
+                return False
+        return True
+
+    def best_container(self) -> int | None:
+        points = self.scores()
+        if not points:
+            return None
+        best = max(points, key=lambda at: (points[at], at))
+        at, inner = best, self._below(best)
+        while at and self.elements[at].tag not in ("article", "main"):
+            at = self._container[self.elements[at].parent]
+            more = self._more_of_it(at, inner)
+            if more is False:
+                break
+            if more:
+                best, inner = at, self._below(at)
+        return best
 
     def best(self) -> str | None:
-        """The deepest path that holds all of the page's running text (ties to the greater path); None without such text."""
-        held: dict[str, int] = {}
-        total = 0
-        for at, words, linked, kept in self.blocks:
-            if kept:
-                n = max(0, len(words) - 2 * linked)
-                total += n
-                for path in {self.paths[i] for i in self.inside(at)}:
-                    held[path] = held.get(path, 0) + n
-        return max((p for p, n in held.items() if total and n == total), key=lambda p: (p.count("/"), p), default=None)
+        """The path this page votes for; None without running text."""
+        at = self.best_container()
+        return None if at is None else self.path(at)
+
+    def _held_by(self, inside: list[bool]) -> list[str]:
+        return [b.text for b, kept in zip(self.blocks, self.kept, strict=True) if kept and inside[b.at]]
 
     def extract(self, path: str | None) -> str:
-        """Kept blocks below ``path``; where the page has no such path, below its own best one."""
-        for wanted in (path, None):
-            if wanted is None:
-                wanted = self.best() or ""
-            out = [words for at, words, _, kept in self.blocks if kept and any(self.paths[i] == wanted for i in self.inside(at))]
-            if out:
-                return "\n".join(out)
-        return ""
+        """Kept blocks below ``path``; where the page has no text there, below its own best container."""
+        inside = [False] * len(self.elements)
+        if path is not None:
+            last = path.rsplit("/", 1)[-1] if "/" in path else None
+            for i, e in enumerate(self.elements):
+                own = not self.dropped[i] and (not i or e.tag in _markup.CONTAINERS and last in (None, general(e))) and self.path(i) == path
+                inside[i] = own or i > 0 and inside[e.parent]
+        out = self._held_by(inside)
+        if not out:
+            at = self.best_container()
+            out = self._held_by(self._below(at or 0))
+        return "\n".join(out)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "html"):
-            votes: dict[tuple[str, str], int] = {}
-            for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                path = Page(text or "").best()
-                if path is not None:
-                    votes[host, path] = votes.get((host, path), 0) + 1
-            if votes:
-                hosts, paths = zip(*votes, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(hosts), pa.array(paths), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
+    for batch in (b for whole in batches for b in pieces(whole, "html")):
+        votes: dict[tuple[str, str | None], int] = {}
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            path = Page(text or "").best()
+            path = path and path.encode("utf-8", "replace").decode()
+            votes[host, path] = votes.get((host, path), 0) + 1
+        hosts, paths = zip(*votes, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes.values(), pa.int64())], ["host", "path", "votes"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in pieces(whole, "html"):
-            texts = [Page(h or "").extract(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            sizes = pa.array(map(len, texts), pa.int64())
-            texts = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, sizes], ["page_id", "url", "text", "n_chars"])
+    for batch in (b for whole in batches for b in pieces(whole, "html")):
+        texts = [Page(h or "").extract(p) for h, p in zip(batch.column("html").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+        sizes = pa.array(map(len, texts), pa.int64())
+        texts = pa.array([t.encode("utf-8", "replace").decode() for t in texts], pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts, sizes], ["page_id", "url", "text", "n_chars"])
 
 
 def host_of(url):
@@ -197,23 +197,24 @@ def host_of(url):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes on each host (ties to the path that holds more, as it is less deep, then to the greater)."""
+    """host, path, n: the path with most votes on each host (ties to the deeper, then to the greater; null without votes), and its pages."""
     votes = pages.select(host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     votes = votes.mapInArrow(_votes, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
     depth = F.length(F.regexp_replace("path", "[^/]", ""))
-    return votes.groupBy("host").agg(F.max(F.struct("votes", (-depth).alias("height"), "path")).alias("best")).select("host", "best.path")
+    best = F.max(F.when(F.col("path").isNotNull(), F.struct("votes", depth.alias("depth"), "path"))).alias("best")
+    return votes.groupBy("host").agg(best, F.sum("votes").alias("n")).select("host", "best.path", "n")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Main text of every page (page_id, url, html): page_id, url, text, n_chars.
 
     Null or empty html gives an empty text; pages without a host form one group; repeated rows give a row each; other columns
-    are ignored. Text outside the winning path is dropped only where the page has that path.
+    are ignored. Text outside the winning path is dropped only where the page has text at that path. Hosts with a large share
+    of all pages get their path by broadcast (at most 4,096 short paths), so their pages don't travel.
     """
     own = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     )
-    salted = own.withColumn("host", host_of(F.col("url"))).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
-    paths = host_paths(own).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    joined = salted.join(paths, ["host", "salt"], "left").select("page_id", "url", "html", "path")
+    hosted = own.withColumn("host", host_of(F.col("url")))
+    joined = join_counted(hosted, host_paths(own), ["host"], own.count()).select("page_id", "url", "html", "path")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
