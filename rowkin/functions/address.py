@@ -1,13 +1,11 @@
-"""Typed numbers of postal addresses, computed once per entity from the raw address."""
+"""Typed numbers of postal addresses as column expressions: one pattern finds each number with the words that decide its kind."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The kind of number that follows a word
 KINDS = {
@@ -16,72 +14,77 @@ KINDS = {
     "box": "box pmb",
     "road": "highway hwy road rd cr us interstate nh sh route rte mile street st county",
 }
-KIND = {word: kind for kind, listed in KINDS.items() for word in listed.split()}
-NUMBER_WORDS = {"no", "number", "num"}
+NUMBER_WORDS = "no number num"
+# What counts as a token of an address (# signs, a number with parts and a short ending, a word)
 TOKEN = r"#+|\d+(?:\s*/\s*\d+)*(?:[a-z]{1,2}(?![a-z]))?|[a-z]+"
-_token = re.compile(TOKEN)
-_list = T.ArrayType(T.StringType())
-SCHEMA = T.StructType(
-    [T.StructField("numbers", T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("kind", "value", "suffix")])))]
-    + [T.StructField(n, T.StringType()) for n in ("primary_value", "primary_suffix")]
-    + [T.StructField(n, _list) for n in (*KINDS, "all_values")]
+#: A number with what decides its kind: the word before it, and a # or a word for number between the two.
+IN_CONTEXT = (
+    r"(?:(?<![a-z])([a-z]+)(?![a-z])[^a-z\d#]*)?"
+    rf"(?:(#+|(?<![a-z])(?:{'|'.join(NUMBER_WORDS.split())})(?![a-z]))[^a-z\d#]*)?"
+    r"(\d+(?:\s*/\s*\d+)*)((?:[a-z]{1,2}(?![a-z]))?)"
 )
+_kind_of = {word: kind for kind, listed in KINDS.items() for word in listed.split()}
 
 
 def tokens(address: str | None) -> list[str]:
-    return _token.findall((address or "").lower())
+    return re.findall(TOKEN, (address or "").lower())
 
 
 def numbers(address: str | None) -> list[tuple[str, str, str]]:
-    """(kind, value, suffix) of every number. Words, and numbers that end in two letters such as 40th, are none.
-
-    The kind comes from the word before: through a #, only unit, area or box (else hash); through no or number, that of the word
-    before it; premise otherwise. Parts of a value lose leading zeros.
-    """
-    found = tokens(address)
+    """(kind, value, suffix) of every number of one address; ``address_numbers`` for a column, in plain Python."""
     out = []
-    for token, before, earlier in zip(found, ["", *found], ["", "", *found], strict=False):
-        shape = re.fullmatch(r"([\d/\s]+)([a-z]?)", token)
-        if not shape:
-            continue
-        if before[:1] == "#":
-            kind = KIND.get(earlier, "hash")
-            kind = "hash" if kind == "road" else kind
-        else:
-            kind = KIND.get(earlier if before in NUMBER_WORDS else before, "premise")
-        value = "/".join(part.strip().lstrip("0") or "0" for part in shape[1].split("/"))
-        out.append((kind, value, shape[2]))
+    for word, mark, body, suffix in re.findall(IN_CONTEXT, (address or "").lower()):
+        kind = _kind_of.get(word, "hash" if mark[:1] == "#" else "premise")
+        if len(suffix) < 2:
+            out.append(("hash" if kind == "road" and mark[:1] == "#" else kind, "/".join(re.sub(r"^\s*0*(?=\d)|\s+$", "", x) for x in body.split("/")), suffix))
     return out
 
 
-def digest(address: str | None) -> dict:
-    """Typed numbers, the primary one (first premise, else first hash), and the distinct values of each kind, sorted."""
-    found = numbers(address)
-    premises = [x for x in found if x[0] == "premise"]
-    primary = next(iter(premises or [x for x in found if x[0] == "hash"]), (None, None, None))
-    kinds: dict[str, set[str]] = {k: set() for k in KINDS}
-    for kind, value, _ in found:
-        kind = "unit" if kind == "hash" and premises else kind
-        if kind in kinds:
-            kinds[kind].add(value)
-    return {
-        "numbers": [{"kind": k, "value": v, "suffix": s} for k, v, s in found],
-        "primary_value": primary[1],
-        "primary_suffix": primary[2],
-        **{k: sorted(v) for k, v in kinds.items()},
-        "all_values": sorted({v for _, v, _ in found}),
-    }
+def address_numbers(raw: Column) -> Column:
+    """kind, value, suffix of every number of a raw address, in order.
+
+    The kind comes from the word before the number: through a #, only unit, area or box (else hash); through a word for
+    number, that of the word before it; premise otherwise. Numbers that end in two letters, such as 40th, are none. Parts of a
+    value lose leading zeros.
+    """
+    lowered = F.lower(F.coalesce(raw, F.lit("")))
+    groups = [F.regexp_extract_all(lowered, F.lit(f"(?U){IN_CONTEXT}"), F.lit(i)).alias(n) for i, n in enumerate(("word", "mark", "body", "suffix"), 1)]
+
+    def typed(x: Column) -> Column:
+        hashed = x["mark"].startswith("#")
+        kind = F.when(hashed, F.lit("hash")).otherwise(F.lit("premise"))
+        for name, listed in KINDS.items():
+            kind = F.when(x["word"].isin(*listed.split()) & ~(hashed if name == "road" else F.lit(False)), F.lit(name)).otherwise(kind)
+        parts = F.transform(F.split(x["body"], "/"), lambda part: F.regexp_replace(part, r"(?U)^\s*0*(?=\d)|\s+$", ""))
+        return F.struct(kind.alias("kind"), F.array_join(parts, "/").alias("value"), x["suffix"].alias("suffix"))
+
+    return F.transform(F.filter(F.arrays_zip(*groups), lambda x: F.length(x["suffix"]) < 2), typed)
+
+
+def digest_of(found: Column) -> Column:
+    """Struct of typed numbers, the primary one (first premise, else first hash), and the distinct values of each kind, sorted.
+
+    A number after a # counts as a unit where there is a premise.
+    """
+    premises, hashes = F.filter(found, lambda x: x["kind"] == "premise"), F.filter(found, lambda x: x["kind"] == "hash")
+    primary = F.coalesce(F.get(premises, F.lit(0)), F.get(hashes, F.lit(0)))
+
+    def values(rows: Column) -> Column:
+        return F.array_sort(F.array_distinct(F.transform(rows, lambda x: x["value"])))
 
+    def of_kind(kind: str) -> Column:
+        as_unit = (F.size(premises) > 0) if kind == "unit" else F.lit(False)
+        return values(F.filter(found, lambda x: (x["kind"] == kind) | (as_unit & (x["kind"] == "hash"))))
 
-@F.pandas_udf(SCHEMA)
-def _digests(address: pd.Series) -> pd.DataFrame:
-    known: dict = {}
-    return pd.DataFrame([known.setdefault(a, digest(a)) for a in (x if isinstance(x, str) else None for x in address)])
+    return F.struct(
+        found.alias("numbers"), primary["value"].alias("primary_value"), primary["suffix"].alias("primary_suffix"),
+        *(of_kind(k).alias(k) for k in KINDS), values(found).alias("all_values"),
+    )
 
 
 def address_digest(raw: Column) -> Column:
-    """Struct of an address's typed numbers. Null has none."""
-    return _digests(raw)
+    """Struct of an address's typed numbers (see ``digest_of``). Null has none."""
+    return digest_of(address_numbers(raw))
 
 
 def address_tokens(raw: Column) -> Column:

@@ -184,35 +184,26 @@ def entity_columns(rows: DataFrame, s1: DataFrame, frequency: DataFrame) -> Data
 # ---- similarities of a pair
 
 
-SCORES = [
+#: What the string kernels give, and what follows from the most alike pair of words that differ.
+KERNELS = [
     "name_ratio", "name_tset", "name_partial", "name_jw", "addr_ratio", "addr_tset", "street_sim", "addr_z_ratio", "addr_z_tset", "name_nospace", "web_vs_name",
-    "fuzzy_pairs", "abbrev_pairs", "dw_ratio", "dw_prefix", "dw_plus_letters", "dw_stem_ending", "dw_edit", "code_changed",
+    "fuzzy_pairs", "abbrev_pairs",
 ]
 _list = T.ArrayType(T.StringType())
 PAIR_SCORES = T.StructType(
-    [T.StructField(n, T.DoubleType()) for n in SCORES] + [T.StructField(n, _list) for n in ("left_r", "left_c")] + [T.StructField(n, T.StringType()) for n in ("dw_r", "dw_c")]
-)
+    [T.StructField(n, T.DoubleType()) for n in KERNELS] + [T.StructField(n, _list) for n in ("left_r", "left_c")]
+    + [T.StructField("dw_ratio", T.DoubleType())] + [T.StructField(n, T.StringType()) for n in ("dw_r", "dw_c")]
+)
 
 
 def pair_scores(r: dict, b: dict) -> tuple:
-    """All string similarities of one pair; ``r`` and ``b`` hold each side's n, a, street, z, glued and label."""
-    words_r, words_b = r["n"].split(), b["n"].split()
-    left_r, left_b, fuzzy, shortened = sim.align(words_r, words_b)
+    """String kernels of one pair; ``r`` and ``b`` hold each side's n, a, street, z, glued, label and own (words the other lacks)."""
+    left_r, left_b, fuzzy, shortened = sim.align(r["n"].split(), b["n"].split())
     labels = [sim.partial_ratio(x["label"], y["glued"]) if x["label"] else -1.0 for x, y in ((r, b), (b, r))]
-    best = sim.best_differing(words_r, words_b)
-    dw = [-1.0] * 6
-    if best:
-        score, x, y = best
-        prefix, edit, longest = sim.common_prefix(x, y), sim.edit_distance(x, y), max(len(x), len(y))
-        code = any(u.isalpha() and v.isalpha() and max(len(u), len(v)) <= 4 for side in [sim.differing(words_r, words_b)] for u in side[0] for v in side[1])
-        endings = prefix >= 3 and 1 <= len(x) - prefix <= 3 and 1 <= len(y) - prefix <= 3
-        dw = [score, prefix / longest, float(1 <= edit <= 3 and edit == abs(len(x) - len(y))), float(endings), float(edit), float(code)]
-    return (
-        sim.ratio(r["n"], b["n"]), sim.token_set_ratio(r["n"], b["n"]), sim.partial_ratio(r["n"], b["n"]), sim.jaro_winkler(r["n"], b["n"]),
-        sim.ratio(r["a"], b["a"]), sim.token_set_ratio(r["a"], b["a"]), sim.token_set_ratio(r["street"], b["street"]),
-        sim.ratio(r["z"], b["z"]), sim.token_set_ratio(r["z"], b["z"]), sim.ratio(r["glued"], b["glued"]), max(labels),
-        float(fuzzy), float(shortened), *dw, left_r, left_b, best[1] if best else None, best[2] if best else None,
-    )
+    kernels = [(sim.cached_ratio, "n"), (sim.token_set_ratio, "n"), (sim.partial_ratio, "n"), (sim.jaro_winkler, "n"), (sim.cached_ratio, "a"), (sim.token_set_ratio, "a")]
+    kernels += [(sim.token_set_ratio, "street"), (sim.cached_ratio, "z"), (sim.token_set_ratio, "z"), (sim.cached_ratio, "glued")]
+    alike = max(((sim.cached_ratio(x, y), x, y) for x in r["own"] for y in b["own"]), default=(None, None, None))
+    return (*(kernel(r[side], b[side]) for kernel, side in kernels), max(labels), float(fuzzy), float(shortened), left_r, left_b, *alike)
 
 
 @F.pandas_udf(PAIR_SCORES)
@@ -221,6 +212,22 @@ def _pair_scores(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=PAIR_SCORES.names)
 
 
+def differing_block(x: Column, y: Column, own_r: Column, own_c: Column, ratio: Column) -> dict[str, Column]:
+    """Comparisons of the most alike pair (x, y) of words that differ; -1 without one."""
+    found, prefix, edit = x.isNotNull(), sim.common_prefix_of(x, y), F.levenshtein(x, y)
+    ends = [F.length(w) - prefix for w in (x, y)]
+
+    def short_word(words: Column) -> Column:
+        return F.exists(words, lambda w: w.rlike(r"^\p{L}{1,4}$"))
+
+    return {
+        "dw_ratio": where(found, ratio), "dw_prefix": where(found, prefix / F.greatest(F.length(x), F.length(y))),
+        "dw_plus_letters": where(found, number(edit.between(1, 3) & (edit == F.abs(F.length(x) - F.length(y))))),
+        "dw_stem_ending": where(found, number((prefix >= 3) & ends[0].between(1, 3) & ends[1].between(1, 3))), "dw_edit": where(found, edit),
+        "code_changed": where(found, number(short_word(own_r) & short_word(own_c))),
+    }
+
+
 def legal_block(r: Column, b: Column) -> dict[str, Column]:
     """Comparisons of the two sides' legal forms."""
     both = (F.size(r) > 0) & (F.size(b) > 0)
@@ -254,7 +261,9 @@ def comparisons(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFram
     b = ours.select("country", *[c(x).alias(f"c_{x}") for x in ours.columns if x != "country"]).withColumnRenamed("c_entity_id", "cand_id")
     rows = rank_block(pairs).join(r, ["country", "rec_id"]).join(b, ["country", "cand_id"]).join(n_s1, "country")
     rows = crowd_block(rows.withColumns({"r_num": c("r_ad.primary_value"), "c_num": c("c_ad.primary_value")}))
-    sides = [F.struct(*[c(f"{s}_{x}").alias(x) for x in ("n", "a", "street", "z", "glued", "label")]) for s in "rc"]
+    own_r, own_c = sim.differing_words(text.words(c("r_n")), text.words(c("c_n")))
+    rows = rows.withColumns({"r_own": own_r, "c_own": own_c})
+    sides = [F.struct(*[c(f"{s}_{x}").alias(x) for x in ("n", "a", "street", "z", "glued", "label", "own")]) for s in "rc"]
     rows = rows.withColumn("ps", _pair_scores(*sides))
 
     def rarity(df: Column) -> Column:
@@ -275,7 +284,7 @@ def comparisons(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFram
         "left_rec_rarest": rarest(c("ps.left_r"), r_df), "left_biz_rarest": rarest(c("ps.left_c"), c_df),
         "dba": number(c("r_dba") | c("c_dba")), "web_name": number(c("r_web") | c("c_web")), "honorific_one_side": number(c("r_honorific") != c("c_honorific")),
         "script_rec": number(c("r_script")), "script_biz": number(c("c_script")),
-        **{x: c(f"ps.{x}") for x in SCORES},
+        **{x: c(f"ps.{x}") for x in KERNELS}, **differing_block(c("ps.dw_r"), c("ps.dw_c"), c("r_own"), c("c_own"), c("ps.dw_ratio")),
         "dw_rarity_biz": where(found, rarity(F.element_at(c_df, c("ps.dw_c")))), "dw_rarity_rec": where(found, rarity(F.element_at(r_df, c("ps.dw_r")))),
         "shop_words": c("r_shop_words"),
     }
