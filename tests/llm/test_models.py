@@ -162,3 +162,29 @@ def test_pipeline_equals_brute_force(spark, docs, rows, no_docs, tmp_path):
             piece = ids[start : start + (2048 if k else first)]
             expected[d, k, start, len(piece), zlib.crc32(piece.tobytes())] += 1
     assert Counter(tuple(r)[:5] for r in kept[4].collect()) == expected == Counter(tuple(r)[:5] for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+
+
+def test_topk_of_large_values(spark, caplog):
+    """Exact beyond doubles' integers; scores beyond a long are its limits; what overflows after scaling takes no part."""
+    rows = [(10, [1e20, 1.0]), (11, [1e20, 0.5]), (12, [-1e20, 0.0]), (13, [3.0, 1.0]), (14, [2.0**40, 1.0]), (20, [2.0**40, -1.0]), (21, [1e308, 1.0]), (22, [1e200, 1.0]), (30, [0.0, 0.0])]
+    usable = {i: [math.floor(1024 * x) for x in v] for i, v in rows if i != 21}
+    expected = []
+    for q in (10, 20, 30):
+        scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(x * y for x, y in zip(usable[q], v, strict=True)))), i) for i, v in usable.items() if i != q)
+        expected += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores[:4], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.search(frame, "vec_id % 10 = 0", k=4).collect()) == expected
+
+
+def test_topk_prunes_before_the_shuffle(spark, monkeypatch, caplog):
+    for name, value in (("FIRST", 40), ("GROUP", 20), ("BLOCK", 8), ("QUERY_BLOCK", 4), ("VISITS", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(9)
+    rows = [(i, (rng.normal(size=8) / (1 + i % 25)).tolist()) for i in range(600)]
+    usable = {i: np.floor(1024 * np.array(v)).astype(np.int64) for i, v in rows}
+    expected = [(q, rank, i, -s) for q in usable if q % 7 == 0 for rank, (s, i) in enumerate(sorted((-int(usable[q] @ v), i) for i, v in usable.items() if i != q)[:3], 1)]
+    with caplog.at_level("INFO", logger=topk.__name__):
+        got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 7 = 0", k=3).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
+    met, pairs = caplog.records[-1].args
+    assert 0 < met < pairs / 2
