@@ -2,10 +2,15 @@
 
 A document is its set of distinct word shingles, as 64-bit hashes. Equal sets collapse into one class. The classes that can
 reach the threshold share a shingle in their prefixes under any global order, here rare shingles first, by exact counts over
-all documents, so chance and quoted passages seldom meet; sharing sends them under one root. Below each root stands a signature tree: its nodes hold the
-OR of their sets' token bitmaps, the range of set sizes and the most tokens that bitmaps can hide. A dual traversal descends
-only into node pairs whose greatest possible overlap reaches the threshold, and the pairs left are compared exactly unless
-they are already connected. Roots too large for one task are split into blocks by size and met block against block.
+all documents, so chance and quoted passages seldom meet; sharing sends them under one root. Below each root stand signature
+trees, one for each band of set sizes: their nodes hold the OR of their sets' token bitmaps, the range of set sizes and the most
+tokens that bitmaps can hide. A dual traversal of a band and itself or the next one descends only into node pairs whose greatest
+possible overlap reaches the threshold, and the pairs left are compared exactly unless they are already connected.
+
+Roots too large for one task are split in two rounds. In the first, each block of a band meets itself and the classes with most
+copies of its band and the two beside it, which connects groups of near copies without their pairs. In the second, sets meet
+per prefix shingle, and only where a shingle's holders are still in several clusters; of a shingle that too many hold, blocks of
+its largest cluster meet blocks of the others, but not each other.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from pyspark.sql import functions as F
 from rowkin.llm import _words
 from rowkin.llm._chunks import chunk_table, chunks_with_totals, with_totals
 from rowkin.llm._components import connected_components
-from rowkin.llm._io import remove, stage, utf8
+from rowkin.llm._io import join_counted, remove, stage, utf8
 
 FAN = 8
 #: Sets and tokens in a block; larger roots are split.
 BLOCK_SETS, BLOCK_TOKENS = 1024, 1 << 20
-CHUNK = 1 << 15
+#: Node pairs, and bytes of their bitmaps, that are tested at once.
+CHUNK, CHUNK_BYTES = 1 << 15, 1 << 24
 
 
 @dataclass(frozen=True)
@@ -123,50 +129,94 @@ class SignatureTree:
 
 
 def possible(a: SignatureTree, b: SignatureTree, level: tuple[int, int], p: np.ndarray, q: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Which node pairs may hold a pair of sets that reaches the threshold."""
-    maps_a, low_a, high_a, excess_a = (x[p] for x in a.levels[level[0]])
-    maps_b, low_b, high_b, excess_b = (x[q] for x in b.levels[level[1]])
-    most = np.bitwise_count(maps_a & maps_b).sum(1, dtype=np.int64) + np.minimum(excess_a, excess_b)
-    most = np.minimum(np.minimum(most, high_a), high_b)
-    near = ~threshold.sizes_apart(high_a, low_b) & ~threshold.sizes_apart(high_b, low_a)
-    return near & (most >= threshold.least_common(low_a + low_b))
+    """Which node pairs may hold a pair of sets that reaches the threshold (indices into p and q): by size, then by bitmaps."""
+    (maps_a, low_a, high_a, excess_a), (maps_b, low_b, high_b, excess_b) = a.levels[level[0]], b.levels[level[1]]
+    least = threshold.least_common(low_a[p] + low_b[q])
+    near = ~threshold.sizes_apart(high_a[p], low_b[q]) & ~threshold.sizes_apart(high_b[q], low_a[p]) & (np.minimum(high_a[p], high_b[q]) >= least)
+    at = np.flatnonzero(near)
+    most = np.bitwise_count(maps_a[p[at]] & maps_b[q[at]]).sum(1, dtype=np.int64) + np.minimum(excess_a[p[at]], excess_b[q[at]])
+    return at[most >= least[at]]
+
+
+def bands(sizes: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Band of each of ascending sizes: sets of a band can only be alike to sets of it, the one before and the next."""
+    out, first, band = np.zeros(len(sizes), np.int64), None, -1
+    for at in np.flatnonzero(np.append(True, sizes[1:] != sizes[:-1])) if len(sizes) else ():
+        if first is None or threshold.sizes_apart(first, sizes[at]):
+            # a gap wider than the ratio leaves a band number out, so that sets on both its sides are no neighbours
+            band += 1 if first is None or not threshold.sizes_apart(sizes[at - 1], sizes[at]) else 2
+            first = sizes[at]
+        out[at:] = band
+    return out
 
 
 def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: Threshold) -> list[tuple[int, int]]:
     """Links that connect all sets of ``a`` (against ``b``, or among themselves) whose similarity reaches the threshold.
 
     Sets must be ordered by size. Indices into ``a`` and ``b``; a spanning forest of the similarity graph, not all its pairs.
+    Trees are built per band of sizes, so that a long set widens the bitmaps of sets of its own length only.
     """
-    every = a + (b or [])
     if not a or b is not None and not b:
         return []
-    most = max(map(len, every))
-    bits = max(64, 1 << int(4 * most - 1).bit_length())
-    first = SignatureTree(a, bits)
-    second = first if b is None else SignatureTree(b, bits)
-    shift = 0 if b is None else len(a)
-    group = np.arange(len(every))
+    sides = [a] if b is None else [a, b]
+    starts = [0] if b is None else [0, len(a)]
+    sizes = np.array([len(s) for side in sides for s in side], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    band = np.empty(len(sizes), np.int64)
+    band[order] = bands(sizes[order], threshold)
+    ranges = []  # of each side: band -> (first index, end) in the side
+    for side, start in zip(sides, starts, strict=True):
+        own = band[start : start + len(side)]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ranges.append({int(own[h]): (int(h), int(e)) for h, e in zip(heads, np.append(heads[1:], len(own)), strict=True)})
+    trees: dict[tuple[int, int, int], SignatureTree] = {}
+
+    def tree(side: int, n: int, bits: int) -> SignatureTree:
+        if (side, n, bits) not in trees:
+            for key in [k for k in trees if k[1] < n - 1]:
+                del trees[key]
+            trees[side, n, bits] = SignatureTree(sides[side][slice(*ranges[side][n])], bits)
+        return trees[side, n, bits]
+
+    group = np.arange(len(sizes))
     out: list[tuple[int, int]] = []
+    last = len(sides) - 1
+    for n in sorted({*ranges[0], *ranges[last]}):
+        pairs = [(0, n, last, n), (0, n, last, n + 1)] + ([(0, n + 1, last, n)] if last else [])
+        for s, m, r, o in pairs:
+            if m in ranges[s] and o in ranges[r]:
+                most = max(len(sides[s][ranges[s][m][1] - 1]), len(sides[r][ranges[r][o][1] - 1]))
+                bits = max(64, 1 << int(4 * most - 1).bit_length())
+                same = (s, m) == (r, o)
+                first, second = tree(s, m, bits), tree(r, o, bits)
+                for i, j in _descend(first, second, same, group, starts[s] + ranges[s][m][0], starts[r] + ranges[r][o][0], threshold):
+                    out.append((i + ranges[s][m][0], j + ranges[r][o][0]))
+    return out
+
+
+def _descend(first: SignatureTree, second: SignatureTree, same: bool, group: np.ndarray, at: int, other: int, threshold: Threshold) -> Iterator[tuple[int, int]]:
+    """Links between two trees (or within one); ``group`` marks what is connected, the trees' sets from ``at`` and ``other`` on."""
+    limit = max(1, min(CHUNK, CHUNK_BYTES // first.levels[0][0][0].nbytes))
     stack = [(len(first.levels) - 1, len(second.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         la, lb, p, q = stack.pop()
         if la == 0 and lb == 0:
-            apart = group[p] != group[q + shift]
+            apart = group[p + at] != group[q + other]
             p, q = p[apart], q[apart]
-        if len(p) > CHUNK:
-            stack += [(la, lb, p[i : i + CHUNK], q[i : i + CHUNK]) for i in range(0, len(p), CHUNK)][::-1]
+        if len(p) > limit:
+            stack += [(la, lb, p[i : i + limit], q[i : i + limit]) for i in range(0, len(p), limit)][::-1]
             continue
-        good = possible(first, second, (la, lb), p, q, threshold) if len(p) else np.zeros(0, bool)
+        good = possible(first, second, (la, lb), p, q, threshold)
         p, q = p[good], q[good]
         if not len(p):
             continue
         if la == 0 and lb == 0:
             for i, j in zip(p.tolist(), q.tolist(), strict=True):
-                if group[i] != group[j + shift]:
+                if group[i + at] != group[j + other]:
                     x, y = first.sets[i], second.sets[j]
                     if threshold.reached(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
-                        out.append((i, j))
-                        group[group == group[j + shift]] = group[i]
+                        group[group == group[j + other]] = group[i + at]
+                        yield i, j
             continue
         step = np.arange(FAN)
         da, db = la > 0 and la >= lb, lb > 0 and lb >= la
@@ -178,11 +228,10 @@ def linked(a: list[np.ndarray], b: list[np.ndarray] | None, threshold: Threshold
             p2, q2 = np.repeat(p2, FAN), (q2[:, None] * FAN + step).ravel()
             keep = q2 < len(second.levels[lb - db][0])
             p2, q2 = p2[keep], q2[keep]
-        if b is None:
+        if same:
             keep = p2 < q2 if la - da == 0 else p2 <= q2
             p2, q2 = p2[keep], q2[keep]
         stack.append((la - da, lb - db, p2, q2))
-    return out
 
 
 def _joined(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) -> Iterator[pa.RecordBatch]:
@@ -216,39 +265,59 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) ->
         yield met(rows)
 
 
-def _rooted(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """doc_id, n_shingles, component -> doc_id, root, side: whole roots, or pairs of blocks where a root is too large.
+def _blocks(sets: str = "sets", tokens: str = "tokens"):
+    return F.ceil(F.greatest(F.col(sets) / BLOCK_SETS, F.col(tokens) / BLOCK_TOKENS)).cast("int")
 
-    Blocks are cut by bands of size, whose limits lie the threshold's ratio apart so that only a band and the next can meet,
-    and by hash within a band. Counts, not windows, set their number.
-    """
-    sums = members.groupBy("component").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("tokens"))
-    large = sums.filter((F.col("sets") > BLOCK_SETS) | (F.col("tokens") > BLOCK_TOKENS)).select("component", F.lit(True).alias("large"))
-    marked = members.join(large, "component", "left")
+
+def _band(threshold: Threshold):
+    """Band of a set's size: limits lie the threshold's ratio apart, so that only a band and those beside it can meet."""
     ratio = threshold.under / threshold.over
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(ratio * (1 + 1e-9)))) - F.lit(1e-9)).cast("int")
-    whole = marked.filter("large is null").select("doc_id", F.col("component").cast("string").alias("root"), F.lit(0).alias("side"))
-    split = marked.filter("large").select("doc_id", "component", "n_shingles", band.alias("band"))
-    per = split.groupBy("component", "band").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("tokens"))
-    per = per.select("component", "band", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("tokens") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    below = per.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    above = per.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    per = per.join(below, ["component", "band"], "left").join(above, ["component", "band"], "left").na.fill(0, ["below", "above"])
-    own = split.join(per, ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-
-    def pair(b1, i, b2, j, side):
-        return F.struct(F.concat_ws("/", F.col("component"), b1, i, b2, j).alias("root"), side.alias("side"))
-
-    band_, block, one, zero = F.col("band"), F.col("block"), F.lit(1), F.lit(0)
-    with_own = F.transform(
-        F.sequence(zero, F.col("blocks") - 1),
-        lambda j: pair(band_, F.least(block, j), band_, F.greatest(block, j), F.when(block > j, one).otherwise(zero)),
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / F.lit(float(np.log(ratio * (1 + 1e-9)))) - F.lit(1e-9)).cast("int")
+
+
+def _blocks_and_hubs(split: DataFrame) -> DataFrame:
+    """doc_id, root, side of the first round of large roots (component, band, doc_id, n_shingles, copies)."""
+    per = split.groupBy("component", "band").agg(
+        F.count("*").alias("sets"), F.sum("n_shingles").alias("tokens"), F.max(F.struct("copies", (-F.col("doc_id")).alias("hub"))).alias("hub")
+    )
+    per = per.select("component", "band", _blocks().alias("blocks"), (-F.col("hub.hub")).alias("doc_id"))
+    own = split.join(per.drop("doc_id"), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    hubs = per.select("component", "doc_id", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    hubs = hubs.join(per.drop("doc_id"), ["component", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    root = F.concat_ws("/", "component", "band", "block").alias("root")
+    return own.select("doc_id", root, F.lit(0).alias("side")).unionByName(hubs.select("doc_id", root, F.lit(0).alias("side")))
+
+
+def _by_key(holders: DataFrame) -> DataFrame:
+    """doc_id, root, side of the second round: holders (key, band, doc_id, n_shingles, cluster) of keys that several clusters hold.
+
+    Keys with equal holders count once. Of a key that too many hold, units are a band's sets in the key's largest cluster, and
+    those in others; units of one band or of neighbouring ones meet block by block, but two of the largest cluster don't.
+    """
+    marks = [F.bit_xor(F.xxhash64("doc_id", F.lit(salt))).alias(f"holders_{salt}") for salt in (1, 2)]
+    keys = holders.groupBy("key").agg(F.min("cluster").alias("least"), F.max("cluster").alias("most"), F.count("*").alias("n"), F.sum("n_shingles").alias("tokens"), *marks)
+    alone = keys.filter("least < most").groupBy("n", "tokens", "holders_1", "holders_2").agg(F.min("key").alias("key")).select("key", "n", "tokens")
+    large = (F.col("n") > BLOCK_SETS) | (F.col("tokens") > BLOCK_TOKENS)
+    met = stage(join_counted(holders, alone, ["key"], holders.count()).withColumn("large", large), "holders")
+    whole = met.filter("not large").select("doc_id", F.concat(F.lit("key/"), F.col("key")).alias("root"), F.lit(0).alias("side"))
+    rest = met.filter("large").select("key", "band", "doc_id", "n_shingles", "cluster")
+    greatest = rest.groupBy("key", "cluster").count().groupBy("key").agg(F.max(F.struct("count", "cluster")).alias("top")).select("key", "top.cluster", F.lit(1).alias("main"))
+    rest = rest.join(greatest, ["key", "cluster"], "left").withColumn("unit", F.col("band") * 2 + F.coalesce("main", F.lit(0)))
+    units = rest.groupBy("key", "unit").agg(F.count("*").alias("sets"), F.sum("n_shingles").alias("tokens")).select("key", "unit", _blocks().alias("blocks"))
+    rest = rest.join(units, ["key", "unit"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    left, right = (units.select("key", F.col("unit").alias(f"unit_{i}"), F.col("blocks").alias(f"blocks_{i}")) for i in (1, 2))
+    one, two = F.col("unit_1"), F.col("unit_2")
+    pairs = left.join(right, "key").filter((one <= two) & (F.shiftright(two, 1) - F.shiftright(one, 1) <= 1) & (one.bitwiseAND(two).bitwiseAND(F.lit(1)) == 0))
+    block, other = F.col("block"), F.col("other")
+    ahead = rest.select("key", F.col("unit").alias("unit_1"), "doc_id", "block").join(pairs, ["key", "unit_1"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks_2") - 1)))
+    swapped = (one == two) & (block > other)
+    ahead = ahead.select(
+        "doc_id", F.concat_ws("/", "key", one, F.when(swapped, other).otherwise(block), two, F.when(swapped, block).otherwise(other)).alias("root"), swapped.cast("int").alias("side")
     )
-    nothing = F.slice(with_own, 1, 0)
-    with_above = F.when(F.col("above") > 0, F.transform(F.sequence(zero, F.col("above") - 1), lambda j: pair(band_, block, band_ + 1, j, zero))).otherwise(nothing)
-    with_below = F.when(F.col("below") > 0, F.transform(F.sequence(zero, F.col("below") - 1), lambda j: pair(band_ - 1, j, band_, block, one))).otherwise(nothing)
-    met = own.select("doc_id", F.explode(F.concat(with_own, with_above, with_below)).alias("r")).select("doc_id", "r.root", "r.side")
-    return whole.unionByName(met)
+    behind = rest.select("key", F.col("unit").alias("unit_2"), "doc_id", "block").join(pairs.filter("unit_1 < unit_2"), ["key", "unit_2"])
+    behind = behind.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks_1") - 1)))
+    behind = behind.select("doc_id", F.concat_ws("/", "key", one, other, two, block).alias("root"), F.lit(1).alias("side"))
+    return whole.unionByName(ahead).unionByName(behind)
 
 
 def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFrame:
@@ -267,20 +336,33 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
     remove(chunks)
     key = ["n_shingles", "set_a", "set_b"]
     full = sets.filter("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(*key, "rep")
+    classes = full.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).filter("n > 1").select(*key, "rep", "n")
     marked = sets.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    lone = full.join(classes, key, "left").filter("rep is null or rep = doc_id")
+    lone = full.drop("text").join(classes, key, "left").filter("rep is null or rep = doc_id")
     keys = lone.select(F.explode("prefix").alias("key"), "n_shingles", "doc_id")
     # every holder of a key is linked to its smallest one: map-side minima and a join that can be split, whatever the key's size
     first = keys.groupBy("key").agg(F.min(F.struct("n_shingles", "doc_id")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     stars = keys.join(first.select("key", F.col("first.doc_id").alias("b")), "key").select(F.col("doc_id").alias("a"), "b")
     near = connected_components(stars)
-    sizes = lone.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles"))
-    members = stage(near.join(sizes, "node").select(F.col("node").alias("doc_id"), "n_shingles", "component"), "members")
+    sizes = lone.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("n_shingles"), F.max(F.coalesce("n", F.lit(1))).alias("copies"))
+    members = stage(near.join(sizes, "node").select(F.col("node").alias("doc_id"), "n_shingles", "copies", "component"), "members")
+    sums = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("tokens"))
+    sums = sums.withColumn("large", (F.col("n") > BLOCK_SETS) | (F.col("tokens") > BLOCK_TOKENS))
+    marked_members = stage(join_counted(members, sums.drop("tokens"), ["component"], members.count()).withColumn("band", _band(threshold)), "members")
+    split = marked_members.filter("large")
+    whole = marked_members.filter("not large").select("doc_id", F.col("component").cast("string").alias("root"), F.lit(0).alias("side"))
     # compressed texts travel to their roots, not their tokens, which take more room
-    texts = lone.filter("text is not null").select("doc_id", "text")
-    rooted = texts.join(_rooted(members, threshold), "doc_id").repartition("root").sortWithinPartitions("root", "side", "doc_id")
-    links = rooted.mapInArrow(lambda it: _joined(it, k, threshold), "a long, b long")
+    texts = full.filter("text is not null").select("doc_id", "text")
+
+    def met(rooted: DataFrame) -> DataFrame:
+        sent = texts.join(rooted, "doc_id").repartition("root").sortWithinPartitions("root", "side", "doc_id")
+        return sent.mapInArrow(lambda it: _joined(it, k, threshold), "a long, b long")
+
+    links = stage(met(whole.unionByName(_blocks_and_hubs(split))), "links")
+    if not split.isEmpty():
+        clusters = connected_components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+        own = split.select("doc_id", "band").join(clusters, "doc_id", "left").withColumn("cluster", F.coalesce("cluster", "doc_id"))
+        links = links.unionByName(met(_by_key(stage(keys.join(own, "doc_id"), "holders"))))
     # equal sets of other rows that repeat a doc_id reach its class through the doc_id itself
     same = marked.filter("n_shingles > 0 and rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     repeated = full.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("a"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -162,3 +163,46 @@ def test_large_prefixes_are_lengthened(spark, monkeypatch):
     got = sorted((tuple(r) for r in substring_dedup.digests(docs).collect()), key=repr)
     assert got == expected_digests(rows)
     assert rounds.count("anchors") > 3  # prefixes grew more than twice
+
+
+@pytest.mark.parametrize("name, value", [("BLOCK_SETS", 4), ("BLOCK_TOKENS", 300), ("BLOCK_TOKENS", 40)])
+def test_large_roots_of_near_copies(spark, monkeypatch, name, value):
+    """Groups of near copies of several sizes that share rare words with others: all links found in two rounds, whatever the blocks."""
+    monkeypatch.setattr(ngram_join, name, value)
+    rng = random.Random(3)
+    rows = []
+    for group in range(5):
+        base = passage(700 + group, rng.choice((20, 60, 90))).split()
+        base[3:5] = ["quoted", "everywhere"]
+        for i in range(25):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(6)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in ngram_join.join(docs, 2, 7, 10).select("doc_id", "n_shingles", "component_id").collect()]
+    assert sorted(got, key=repr) == components(rows, 2, 7, 10)
+
+
+def test_join_of_a_very_long_text(spark):
+    long_text = " ".join(f"w{i % 250_007}x{i % 7}" for i in range(500_000))
+    rows = [(1, long_text), (2, long_text + " and more"), (3, "short text of a few words"), (4, long_text[: len(long_text) // 2]), (5, "short text of a few words")]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 3}
+
+
+def test_memory_of_trees_does_not_follow_the_longest_set():
+    rng = np.random.default_rng(1)
+
+    def peak(n):
+        base = np.unique(rng.integers(0, 1 << 62, 63, dtype=np.uint64))
+        sets = [np.unique(np.append(np.delete(base, rng.integers(0, 63)), rng.integers(0, 1 << 62, 2, dtype=np.uint64))) for _ in range(400)]
+        sets = sorted([*sets, np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))], key=len)
+        tracemalloc.start()
+        found = ngram_join.linked(sets, None, ngram_join.Threshold(90, 100))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 399
+        return most
+
+    assert peak(200_000) < peak(100) + (16 << 20)
