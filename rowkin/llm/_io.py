@@ -76,9 +76,20 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _malloc_settings() -> None:
+    """Let glibc map large arrays on their own, so that a reused Python worker gives them back when they are freed."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # glibc alone has it
+    if mallopt is not None:
+        mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which otherwise grows with every array freed
+
+
+_malloc_settings()
+
+
 def release() -> None:
     """Give freed memory back to the system, which reused Python workers would otherwise keep between tasks."""
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from rowkin.llm import _words
 from rowkin.llm._chunks import chunk_table, chunks_with_totals, with_totals
 from rowkin.llm._components import connected_components
-from rowkin.llm._io import join_counted, remove, stage, utf8
+from rowkin.llm._io import join_counted, release, remove, stage, utf8
 
 FAN = 8
 #: Sets and tokens in a block; larger roots are split.
@@ -261,8 +261,10 @@ def _joined(batches: Iterator[pa.RecordBatch], k: int, threshold: Threshold) ->
                     root, rows = at, []
                 if end > start:
                     rows.append((side, doc_id, hashes[start:end].copy()))
+        release()
     if len(rows) > 1:
         yield met(rows)
+    release()
 
 
 def _blocks(sets: str = "sets", tokens: str = "tokens"):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.llm import _words
-from rowkin.llm._io import join_counted, pieces, remove, stage, utf8
+from rowkin.llm._io import join_counted, pieces, release, remove, stage, utf8
 
 WINDOW = 50
 PREFIX = 8
@@ -216,6 +216,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
         size += (len(key) - at) * 2 * window
     if held:
         yield grown(held)
+    release()
 
 
 def _met(nodes: DataFrame, keys: list[str], *more) -> DataFrame:
