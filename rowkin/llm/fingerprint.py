@@ -1,7 +1,8 @@
 """Document fingerprints (9): a homomorphic multiset hash, in DataFrame functions alone.
 
-A text is the multiset of its paragraph parts (lines, cut into parts of at most 48 characters so that long paragraphs stay
-comparable). Each part is hashed to a wide vector: two 64-bit values for equality and, from their bits, 120 small counters.
+A text is the multiset of its paragraph parts: lines, cut after words that their own letters choose, so that long paragraphs stay
+comparable and a cut moves with its words. Each part is hashed to a wide vector: two 64-bit values for equality and, from their
+bits, 124 counters. Counters have 31 bits, and a text (2 GB at most) has fewer than 2**30 parts, so none carries into another.
 The fingerprint is the sum of the vectors modulo powers of two, so it doesn't depend on order, and adding or removing a
 paragraph adds or subtracts its vector. Because a counter's sum is a random projection of the multiset, the inner product of
 two fingerprints estimates how many parts the texts share.
@@ -12,9 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PART = 48
-#: Counters of 20 bits, three in each long, taken from every 20th bit of a hash.
-STEP, PER_LONG = 20, 3
+#: A part: 32 characters or more up to a word that ends in one of these (about half of all do), 96 characters, or what is left of a line.
+PART = "[^\\n]{31,94}?[0-4A-Ma-m.,;!?] |[^\\n]{1,96}"
+#: Counters of 31 bits, two in each long, taken from every 31st bit of a hash.
+STEP, PER_LONG = 31, 2
 LANE = (1 << STEP) - 1
 BITS = sum(1 << STEP * i for i in range(PER_LONG))
 MODULUS = (1 << 62) - 1
@@ -35,12 +37,12 @@ def _lanes(hashes: Column) -> Column:
 
 
 def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
-    """Add array<long> ``name``: number of parts, four sums for equality, 2 x 20 longs of counters. Null counts as empty.
+    """Add array<long> ``name``: number of parts, four sums for equality, 2 x 31 longs of counters. Null counts as empty.
 
     The hashes are columns of their own, so that the text is cut once.
     """
     one, two = f"{name}_1", f"{name}_2"
-    df = df.withColumn("parts_", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(f"[^\\n]{{1,{PART}}}"), F.lit(0)))
+    df = df.withColumn("parts_", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PART), F.lit(0)))
     df = df.select("*", F.transform("parts_", lambda p: F.xxhash64(p)).alias(one), F.transform("parts_", lambda p: F.xxhash64(p, F.lit(1))).alias(two))
     low, columns = F.lit(0xFFFFFFFF), (F.col(one), F.col(two))
     sums = [_sum(h, part) for h in columns for part in (lambda x: x.bitwiseAND(low), lambda x: F.shiftrightunsigned(x, 32))]

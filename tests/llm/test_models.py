@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from rowkin.llm import fingerprint, quality, topk
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,3 +191,57 @@ def test_topk_prunes_before_the_shuffle(spark, monkeypatch, caplog):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == sorted(expected)
     met, pairs = caplog.records[-1].args
     assert 0 < met < pairs / 2
+
+
+def plain_print(text):
+    """The fingerprint's sums and counters in plain Python."""
+    found = re.findall(fingerprint.PART, text)
+    pairs = [(xxhash.xxh64_intdigest(p.encode(), 42), p) for p in found]
+    hashes = [[h for h, _ in pairs], [xxhash.xxh64_intdigest(struct.pack("<i", 1), h) for h, _ in pairs]]
+    counts = [sum(h >> bit & 1 for h in own) for own in hashes for s in range(fingerprint.STEP) for bit in (s, s + fingerprint.STEP)]
+    return len(found), [sum(h >> shift & 0xFFFFFFFF for h in own) for own in hashes for shift in (0, 32)], [2 * c - len(found) for c in counts]
+
+
+def test_fingerprint_query_equals_brute_force(spark):
+    """All documents of the smallest tables: fingerprints, edited texts and both likenesses."""
+    from rowkin.llm import queries
+
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()), reverse=True)
+    got = {r["doc_id"]: r for r in queries.op9_fingerprint(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+
+    def shown(p):
+        lanes = [p[2][i] + p[0] for i in range(len(p[2]))]
+        longs = [(lanes[i] // 2) | (lanes[i + 1] // 2) << fingerprint.STEP for i in range(0, len(lanes), 2)]
+        return "".join(f"{x:016x}" for x in [p[0], *p[1], *longs])
+
+    def alike(a, b):
+        norms = sum(x * x for x in a) + sum(x * x for x in b)
+        return max(0.0, min(1.0, 2 * sum(x * y for x, y in zip(a, b, strict=True)) / norms)) if norms else 1.0
+
+    prints = {d: plain_print(t) for d, t in rows}
+    for (d, t), (e, following) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + following[:third]
+        own, changed = prints[d], plain_print(edited)
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (shown(own), shown(changed))
+        assert math.isclose(r["near_edited"], alike(own[2], changed[2]), abs_tol=1e-9) and math.isclose(r["near_next"], alike(own[2], prints[e][2]), abs_tol=1e-9)
+
+
+def test_counters_do_not_carry(spark):
+    """More equal lines than 20 bits count: every counter is the number of lines, or minus it."""
+    n = (1 << 20) + 5
+    frame = spark.range(1).select(F.concat(F.repeat(F.lit("a\n"), n), F.lit("b")).alias("text"), F.repeat(F.lit("a\n"), n).alias("other"))
+    frame = fingerprint.with_fingerprint(fingerprint.with_fingerprint(frame, "text", "p"), "other", "q")
+    row = frame.select(fingerprint.counters(F.col("p")).alias("a"), fingerprint.counters(F.col("q")).alias("b"), fingerprint.likeness(fingerprint.counters(F.col("p")), fingerprint.counters(F.col("q"))).alias("l")).first()
+    assert {abs(x) for x in row["b"]} == {n} and max(abs(x) for x in row["a"]) <= n + 1 and row["l"] > 0.999
+
+
+def test_parts_follow_their_words(spark):
+    """A letter put in front of a long line changes the parts near it alone."""
+    line = passage(77, 2000)
+    frame = spark.createDataFrame([(line, "x" + line)], "a string, b string")
+    frame = fingerprint.with_fingerprint(fingerprint.with_fingerprint(frame, "a", "p"), "b", "q")
+    assert frame.select(fingerprint.likeness(fingerprint.counters(F.col("p")), fingerprint.counters(F.col("q")))).first()[0] > 0.9
