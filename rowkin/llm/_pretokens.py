@@ -27,6 +27,22 @@ def classes() -> np.ndarray:
     return _classes[0]
 
 
+def classes_of(pre_tokenizer) -> np.ndarray:
+    """Classes as the tokenizer's own rules have them: code points that Python's tables don't know are shown to it.
+
+    A letter stays with a letter before it, another symbol with a symbol, a number with neither. Unassigned planes are left out.
+    """
+    out = classes().copy()
+    unknown = [i for i in (*range(0x40000), *range(0xE0000, 0xF0000)) if unicodedata.category(chr(i)) == "Cn"]
+    if unknown:
+        spans = pre_tokenizer.pre_tokenize_str("".join(f"a{chr(i)} !{chr(i)} " for i in unknown))
+        split = np.zeros(6 * len(unknown) + 1, bool)
+        split[[start for _, (start, _) in spans]] = True
+        with_letter, with_symbol = ~split[1::6], ~split[4::6]
+        out[unknown] = np.where(with_letter, LETTER, np.where(with_symbol, OTHER, NUMBER))
+    return out
+
+
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Code points of UTF-8 bytes and the rows' offsets counted in code points."""
     cps = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -48,10 +64,10 @@ def contractions(cps: np.ndarray, kind: np.ndarray, begins: np.ndarray, at: np.n
     return at[single | pair], np.where(single, 1, 2)[single | pair]
 
 
-def byte_level_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def byte_level_starts(cps: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> np.ndarray:
     """Starts of the byte-level pieces: a run of letters, digits or other symbols with one space before it, or spaces."""
     n = len(cps)
-    kind = classes()[cps]
+    kind = (classes() if kinds is None else kinds)[cps]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     begins = begins[:n]
@@ -76,10 +92,10 @@ def byte_level_starts(cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def word_level_spans(cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_level_spans(cps: np.ndarray, offsets: np.ndarray, kinds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of letter runs, single numbers and runs of other symbols; white space is dropped."""
     n = len(cps)
-    kind = classes()[cps]
+    kind = (classes() if kinds is None else kinds)[cps]
     begins = np.zeros(n + 1, bool)
     begins[offsets] = True
     begins = begins[:n]

@@ -44,9 +44,12 @@ class ForcedBoundaryBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        tokenizer = Tokenizer.from_file(path)
+        self.normalizer, self.kinds = tokenizer.normalizer, _pretokens.classes_of(tokenizer.pre_tokenizer)
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
+        if any(t.get(flag) for t in spec["added_tokens"] for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path}: added tokens that take neighbouring characters, or are normalized, are not supported")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         letters = byte_letters()
@@ -105,7 +108,7 @@ class ForcedBoundaryBpe:
         if not len(data):
             return [], np.zeros(len(offsets), np.int64)
         cps, at = _pretokens.code_points(data, offsets)
-        starts, ends = _pretokens.word_level_spans(cps, at)
+        starts, ends = _pretokens.word_level_spans(cps, at, self.kinds)
         keys, first, which = _pretokens.distinct_pieces(cps, starts, ends)
         if len(self.memo) > MEMO:
             self.clear()
@@ -119,7 +122,7 @@ class ForcedBoundaryBpe:
         parts: list[str] = []
         cut: dict[int, list[str]] = {}  # texts that hold special tokens, which the library takes out first
         for i, text in enumerate(texts):
-            if self.special_split and "<|" in text and len(split := self.special_split.split(text)) > 1:
+            if any(s in text for s in self.special) and len(split := self.special_split.split(text)) > 1:
                 cut[i] = split
                 parts += split[::2]
             else:

@@ -41,6 +41,7 @@ class PieceTable:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
+        self.kinds = _pretokens.classes_of(self.tokenizer.pre_tokenizer)
         self.special = [t["content"] for t in spec["added_tokens"]]
         vocab, merges = spec["model"]["vocab"], [tuple(m) for m in spec["model"]["merges"]]
         self.byte_ids = np.array([vocab[c] for c in byte_letters()], np.int64)
@@ -79,7 +80,7 @@ def encode_rows(column, path: str) -> tuple[np.ndarray, np.ndarray]:
         got = [known.tokenizer.encode(x or "", add_special_tokens=False).ids for x in column.to_pylist()]
         return np.concatenate([np.zeros(0, np.uint32), *(np.array(x, np.uint32) for x in got)]), np.cumsum([0, *map(len, got)])
     cps, at = _pretokens.code_points(data, offsets)
-    starts = _pretokens.byte_level_starts(cps, at)
+    starts = _pretokens.byte_level_starts(cps, at, known.kinds)
     ends = np.append(starts[1:], len(cps))[: len(starts)]
     if not len(starts):
         return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)

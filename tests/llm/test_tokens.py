@@ -140,3 +140,18 @@ def test_language_model_equals_brute_force(docs, rows, no_docs, monkeypatch, ord
     for a, b in zip(sorted(got, key=repr), sorted(expected, key=repr), strict=True):
         assert a[:2] == b[:2] and a[3:] == b[3:] and (a[2] == b[2] or math.isclose(a[2], b[2], abs_tol=2e-6))
     assert language_model.score(no_docs).count() == 0
+
+
+def test_classes_of_all_code_points_are_the_library_s():
+    """Every assigned plane, between letters, digits and symbols, against the library with the word vocabulary."""
+    import public_tokenizers
+    from rowkin.llm import bpe
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    known, library = bpe.coder(path), Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [f"ab{chr(i)}9!{chr(i)}x" for i in (*range(0xD800), *range(0xE000, 0x34000), *range(0xE0000, 0xE0400))]
+    for (ids, _), wanted in zip(known.encode_many(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert ids == " ".join(map(str, wanted.ids))
