@@ -228,7 +228,8 @@ def _met(nodes: DataFrame, keys: list[str], *more) -> DataFrame:
 
 
 def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """doc_id, row_mark, start, end: ranges of words covered by windows that also start in a document of smaller doc_id.
+    """doc_id, row_mark, starts, begin, stop: words ``begin`` to ``stop`` from each of ``starts`` are covered by windows that also
+    start in a document of smaller doc_id.
 
     Prefixes are lengthened in rounds, each of which reads only texts with leaves of large prefixes; a window of 50 has 7 at most.
     """
@@ -247,8 +248,7 @@ def repeated_spans(own: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -
         groups = stage(_met(leaders, ["key"], "least < most").select(*NODE_NAMES, (F.col("n") > GROUP).alias("large")), "groups")
         regions = with_places(groups.filter("not large")).mapInArrow(lambda it: _regions(it, window), REGION)
         covered = regions.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _subtrees(it, window), COVERED)
-        spans = copied.unionByName(covered).withColumn("start", F.explode("starts"))
-        found.append(stage(spans.select("doc_id", "row_mark", (F.col("start") + F.col("begin")).alias("start"), (F.col("start") + F.col("stop")).alias("end")), "found"))
+        found.append(stage(copied.unionByName(covered), "found"))
         large = groups.filter("large")
         later = None if large.isEmpty() else stage(with_places(large).mapInArrow(lambda it: _lengthened(it, window), NODE), "anchors")
         for done in (nodes, shared, leaves, groups):
@@ -264,8 +264,9 @@ COPIED = ["doc_id", "row_mark", "starts"]
 def covered_words(n: int, spans: list[dict]) -> np.ndarray:
     step = np.zeros(n + 1, np.int64)
     for s in spans or []:
-        step[s["start"]] += 1
-        step[s["end"]] -= 1
+        starts = np.array(s["starts"], np.int64)
+        np.add.at(step, starts + s["begin"], 1)
+        np.add.at(step, starts + s["stop"], -1)
     return np.cumsum(step[:-1]) > 0
 
 
@@ -304,7 +305,7 @@ def _marked(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     """Rows of doc_id, text (and rest) with the spans to remove."""
     rows = docs.withColumn("row_mark", F.xxhash64("doc_id", "text"))
     found = repeated_spans(rows.select("doc_id", "row_mark", "text"), window, prefix)
-    spans = found.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = found.groupBy("doc_id", "row_mark").agg(F.collect_list(F.struct("starts", "begin", "stop")).alias("spans"))
     return rows.join(spans, ["doc_id", "row_mark"], "left").drop("row_mark")
 
 
