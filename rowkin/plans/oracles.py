@@ -63,7 +63,7 @@ DIGESTS = """
 """
 SHORTED = f"with {VIEWS}, {SHORT}, {PREPARED}, {DIGESTS}"
 GRAMS = f"""
-    docs as (select doc_id as id, lang as country, {plain('substr(text, 1, 60)')} as n from documents),
+    docs as (select doc_id as id, lang as country, {plain('text')} as n from documents),
     windows as (
         select id, country, unnest(flatten(list_transform({words('n')}, lambda w: list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))))) as gram
         from docs
@@ -206,7 +206,7 @@ ORACLES: dict[str, str] = {
     "text_words": f"with {VIEWS} select entity_id, cast(len({words(clean('business_name'))}) as bigint) as n_words from p_ot",
     "flag_web": "select page_id, regexp_matches(lower(coalesce(url, '')), 'www\\.|\\.(com|in|net|org|co|fr)\\b') as web from pages",
     "flag_dba": f"with {VIEWS} select entity_id, true as dba, regexp_matches(lower(business_name), '\\bd\\s*\\.?\\s*b\\s*\\.?\\s*a\\b|\\ba\\s*\\.?\\s*k\\s*\\.?\\s*a\\b|trading as|\\bt/a\\b') as plain from p_ot",
-    "flag_script": "select doc_id, regexp_matches(coalesce(text, ''), '[\\x{0900}-\\x{0DFF}]') as script from documents",
+    "flag_script": "select doc_id, regexp_matches(concat(coalesce(text, ''), case when doc_id % 3 = 0 then ' दुकान' else '' end), '[\\x{0900}-\\x{0DFF}]') as script from documents",
     "flag_no_latin": "select doc_id, not regexp_matches(coalesce(text, ''), '[A-Za-z]') as no_latin from documents",
     "flag_honorific": f"with {VIEWS} select entity_id, true as yes, list_has_any(string_split({clean('business_name')}, ' '), {listed(HONORIFICS)}) as no from p_ot",
     "web_label": "select page_id, regexp_extract(lower(coalesce(url, '')), '([a-z0-9][a-z0-9-]{2,})\\.(com|in|net|org|co|fr)\\b', 1) as label from pages",
@@ -234,8 +234,8 @@ ORACLES: dict[str, str] = {
         r as (select *, sum(n) over (partition by s) as total, row_number() over (partition by s order by n desc, l) as nth from n)
         select l as latin, n, cast(total as bigint) as total from r where nth = 1 and n >= 2 and n >= 0.5 * total
     """,
-    "translit_aligned": f"with {VIEWS}, {ALIGNED.replace('{s}', clean('p_name')).replace('{l}', clean('p_type'))} select s, l, count(*) as n from aligned group by all",
-    "grams": f"with {GRAMS} select id, gram, tf from tf where id % 4 = 0",
+    "translit_aligned": f"with {VIEWS}, {ALIGNED.replace('{s}', clean('p_name')).replace('{l}', clean("concat_ws(' ', p_type, p_type)"))} select s, l, count(*) as n from aligned group by all",
+    "grams": f"with {GRAMS} select id, gram, tf from tf",
     "gram_idf": f"with {WEIGHTS} select country, gram, df, round(idf, 9) as idf from idf",
     "gram_norms": f"with {WEIGHTS} select id, count(*) as grams, round(sum(w), 6) as total, round(max(w), 6) as most from unit group by id",
     "topk_shortlist": f"""
@@ -251,14 +251,18 @@ ORACLES: dict[str, str] = {
         select rec_id, cand_id, cast(r as int) as rank from a where r < 2
     """,
     "twins": TWINS.replace("{name}", core(clean("concat(p_name, ' ', p_type)"))).replace("{cap}", "200"),
-    "twins_small_cap": TWINS.replace("{name}", core(clean("p_name"))).replace("{cap}", "3"),
+    "twins_small_cap": TWINS.replace("{name}", core(clean("concat(p_name, ' ', p_type)"))).replace("{cap}", "5"),
     "deleted_random": f"""
         with {VIEWS}, f as (
             select country, entity_id as id, row_number() over (partition by country order by md5(country || '|' || entity_id || '|3407'), entity_id) as nth from p_s1 where k % 7 <> 0
         ), n as (select country, count(*) // 10 as m from p_s1 group by country)
         select f.country, f.id from f join n on n.country = f.country where nth <= m
     """,
-    "n_to_delete": f"with {VIEWS}, a as (select country, count(*) as n from p_s1 group by country), b as (select country, count(*) as m from p_ot group by country) select country, cast(n - round_even(m / (m * 1.25 / n), 0) as bigint) as n_delete from a join b using (country)",
+    "n_to_delete": f"""
+        with {VIEWS}, a as (select country, count(*) as n from p_s1 group by country),
+        b as (select country, count(*) as m, count(*) + count(*) filter (where entity_id like '%1') as tested from p_ot group by country)
+        select country, cast(greatest(0, n - round_even(m / (tested / n), 0)) as bigint) as n_delete from a join b using (country)
+    """,
     "splits": f"with {VIEWS}, u as (select entity_id, {uniform('entity_id', 3407)} < 0.2 as is_val, {uniform('entity_id', 3408)} < 0.5 as tune from p_s1) select entity_id, is_val, is_val and tune as v_tune, is_val and not tune as v_report from u",
     "leak_guard": f"with {VIEWS}, {SHORT} select rec_id, cand_id, not bool_or(s.k % 5 = 1) over (partition by rec_id) as train from p_short p join p_s1 s on s.entity_id = p.cand_id",
     "labels": f"with {VIEWS}, {SHORT} select rec_id, cand_id, coalesce(t.source1_entity_id = p.cand_id, false) as y from p_short p left join p_truth t on t.other_id = p.rec_id",
@@ -295,6 +299,10 @@ ORACLES: dict[str, str] = {
     "feat_legal": f"{SHORTED}, x as (select p.rec_id, p.cand_id, {forms('r.n')} as rf, {forms('c.n')} as cf from {NUMS}) select rec_id, cand_id, {rounded(LEGAL_ROWS)} from x",
     "feat_flags": f"with {VIEWS} select entity_id, starts_with(entity_id, 'S3') as is_s3, business_address is null as addr_missing, not regexp_matches(business_name, '[A-Za-z]') as name_no_latin, cast(length(business_name) as int) as name_len from p_ot",
     "sim_levenshtein": f"{SHORTED} select p.rec_id, p.cand_id, cast(levenshtein(r.n, c.n) as int) as distance from {NUMS}",
+    "sim_common_prefix": f"""
+        {SHORTED} select p.rec_id, p.cand_id,
+        cast(list_max(list_filter(range(0, least(length(r.n), length(c.n)) + 1), lambda i: substr(r.n, 1, i) = substr(c.n, 1, i))) as int) as letters from {NUMS}
+    """,
     "sim_jaro_winkler": f"{SHORTED} select p.rec_id, p.cand_id, round(jaro_winkler_similarity(r.n, c.n), 6) as similarity from {NUMS}",
     "address_tokens": f"with {VIEWS} select entity_id, array_to_string(regexp_extract_all(lower(coalesce(business_address, '')), '#+|[0-9]+|[a-z]+'), '|') as tokens from p_ot",
     "decide": f"{DECISION} select rec, cand, prob from ranked where best and prob >= 0.5",

@@ -12,12 +12,13 @@ import logging
 import time
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rowkin import schema
 from rowkin.functions import text
 from rowkin.operators import blocking, features, testlike, translit
+from rowkin.operators.sampling import first_by_hash
 from rowkin.plans import decision, models
 from rowkin.sources import tsv
 
@@ -42,10 +43,10 @@ class Settings:
 
 
 class Stages:
-    """Parquet stages in a work folder, keyed by name and settings; a stage that is there is read, not made again."""
+    """Parquet stages in a work folder, keyed by settings, inputs and second scorer; a stage that is there is read, not made again."""
 
-    def __init__(self, spark: SparkSession, work_dir: str, settings: Settings, inputs: str = ""):
-        key = json.dumps([asdict(settings), inputs], sort_keys=True).encode()
+    def __init__(self, spark: SparkSession, work_dir: str, settings: Settings, inputs: str = "", scorer: str = ""):
+        key = json.dumps([asdict(settings), inputs, scorer], sort_keys=True).encode()
         self.spark, self.folder = spark, f"{work_dir.rstrip('/')}/{hashlib.sha256(key).hexdigest()[:16]}"
 
     def path(self, name: str) -> str:
@@ -106,11 +107,20 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFrame
 
 
 def pair_sample(pairs: DataFrame, first: int, more: int) -> DataFrame:
-    """Training pairs for the second scorer: the ``first`` of a random order, then ``more`` of other texts."""
-    ordered = pairs.withColumn("order_", testlike.hash_order("country", "rec_id", "cand_id"))
-    some = ordered.orderBy("order_").limit(first)
-    others = ordered.join(some.select("a", "b", "country").distinct(), ["a", "b", "country"], "left_anti").orderBy("order_").limit(more)
-    return some.unionByName(others).drop("order_")
+    """Training pairs for the second scorer: ``first`` in a random order, then ``more`` of other texts.
+
+    Countries take part by their share of the pairs, rounded; no country is sorted in one task.
+    """
+
+    def some(rows: DataFrame, most: int) -> DataFrame:
+        sizes = rows.groupBy("country").agg(F.count("*").alias("size_"))  # a row per country
+        wanted = sizes.select("country", F.round(F.lit(most) * F.col("size_") / F.sum("size_").over(Window.partitionBy())).cast("long").alias("most_"))
+        keyed = rows.join(wanted, "country").withColumn("id", F.col("cand_id"))
+        return first_by_hash(keyed, testlike.hash_order("country", "rec_id", "cand_id"), F.col("most_")).select(*pairs.columns)
+
+    begun = some(pairs, first)
+    others = pairs.join(begun.select("a", "b", "country").distinct(), ["a", "b", "country"], "left_anti").select(*pairs.columns)
+    return begun.unionByName(some(others, more))
 
 
 def train(stages: Stages, s1: DataFrame, records: DataFrame, truth: DataFrame, test_s1: DataFrame, test_records: DataFrame, settings: Settings, scorer=None) -> Trained:
@@ -174,7 +184,7 @@ def score(stages: Stages, trained: Trained, s1: DataFrame, records: DataFrame, s
 def run(spark: SparkSession, data_dir: str, out_dir: str, work_dir: str, settings: Settings | None = None, scorer=None) -> DataFrame:
     """Read train and test sources, train, score, write both outputs; returns their digests."""
     settings = settings or Settings()
-    stages = Stages(spark, work_dir, settings, data_dir)
+    stages = Stages(spark, work_dir, settings, data_dir, getattr(scorer, "__qualname__", repr(scorer)) if scorer else "")
 
     def read(split: str, name: str, columns=schema.SOURCE) -> DataFrame:
         return tsv.read_source(spark, tsv.path_of(data_dir, split, name), columns)

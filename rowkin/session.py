@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def shared_folder(context: SparkContext) -> str:
+    """``spark.checkpoint.dir``; where that is unset a temporary folder in local mode, and an error on a cluster."""
+    path = context.getConf().get("spark.checkpoint.dir")
+    if not path and context.master != "local" and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (path or f"file://{tempfile.gettempdir()}/rowkin-shared").rstrip("/")
