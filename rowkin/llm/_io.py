@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 
 import numpy as np
@@ -12,15 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowkin.session import shared_folder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one only where the setting is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.gettempdir()}/rowkin-shared"
+    """The folder all executors share (``spark.checkpoint.dir``); a local one only in local mode where the setting is unset."""
+    path = shared_folder(spark.sparkContext)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
