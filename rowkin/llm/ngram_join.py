@@ -376,6 +376,10 @@ def join(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFra
 
 
 def keep_one(docs: DataFrame, k: int = 5, over: int = 8, under: int = 10) -> DataFrame:
-    """The documents without all but the one of smallest doc_id of each group of near duplicates (repeated rows once too)."""
+    """The documents without all but the one of smallest doc_id of each group of near duplicates, with all their columns.
+
+    Null and empty texts are alike to nothing and stay, as do rows without doc_id. Rows that repeat a doc_id are one document:
+    they stay or go together. An empty table gives an empty one.
+    """
     groups = join(docs, k, over, under).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(groups, "doc_id", "left_anti")

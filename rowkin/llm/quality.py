@@ -20,6 +20,8 @@ from rowkin.llm._io import pieces, utf8
 
 #: Labelled documents used for training at most, those with the smallest hashes of doc_id.
 TRAIN_DOCUMENTS = 2000
+#: Features of a document that is learnt from take at most so many bytes, so the driver gets 256 MB at most.
+TRAIN_DOCUMENT_BYTES = 1 << 17
 THRESHOLD = 0.3
 STEPS, RATE, RIDGE = 150, 0.08, 1e-4
 CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r\v\f", ".", ",;:", "!?", "\"'()-", "|"]
@@ -174,13 +176,15 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame) -> LineField | None:
     """Fit the field on labelled rows outside the held-out fold; None where both labels can't be seen.
 
-    Labels that contradict each other for one doc_id count as bad; the sample's bound is TRAIN_DOCUMENTS.
+    Labels that contradict each other for one doc_id count as bad; the sample's bounds are TRAIN_DOCUMENTS and
+    TRAIN_DOCUMENT_BYTES (documents beyond it are scored, but not learnt from).
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     known = known.filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(known), "doc_id").mapInArrow(_sampled, "doc_id long, label int, features binary")
+    found = found.filter(F.length("features") <= TRAIN_DOCUMENT_BYTES)
     rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "features").limit(TRAIN_DOCUMENTS).collect()
     if len({r["label"] for r in rows}) < 2:
         return None
@@ -220,7 +224,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches THRESHOLD, with all their columns."""
+    """The documents whose score reaches THRESHOLD, with all their columns.
+
+    A null or empty text counts as one empty line and goes by that line's score; equal texts go or stay together, and rows that
+    repeat a document, or have no doc_id, are each judged by their own text; without usable labels all stay.
+    """
     field = train(docs, labels)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()

@@ -323,7 +323,11 @@ def digests(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> Data
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """The documents with repeated words cut out of ``text`` (and ``n_chars`` renewed if there is one); other columns stay."""
+    """The documents with repeated words cut out of ``text`` (and ``n_chars`` renewed if there is one); other columns stay.
+
+    No row goes: a text that repeats smaller documents as a whole becomes empty. Null and empty texts and rows without doc_id
+    stay as they are; rows that repeat a doc_id don't remove from each other; a kept word keeps the white space after it.
+    """
     others = [n for n in docs.columns if n != "text"]
     packed = docs.select(F.struct(*others).alias("rest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = packed.schema["rest"].dataType.simpleString()
