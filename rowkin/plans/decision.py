@@ -6,9 +6,11 @@ Everything is grouped by country, so nothing is ordered or summed in a single ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.functions import text
+
 #: Tuning grids: floors and bars of a business's best score and a record's score, factors of the best score.
 FLOORS = [round(0.30 + 0.02 * i, 2) for i in range(31)]
 FACTORS = [round(0.50 + 0.05 * i, 2) for i in range(11)]
@@ -71,20 +73,25 @@ def accepted_per_business(accepted: DataFrame, businesses: DataFrame) -> DataFra
     return n.join(got, "country", "left").select("country", (F.coalesce("got", F.lit(0)) / F.col("n")).alias("accepted"))
 
 
-def _curve(kept: DataFrame, businesses: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per country businesses and those without true records; per grid point the sum of gains over keeping nothing.
+def _gain(tp, fp, k):
+    """What a business scores beyond what it would with nothing kept."""
+    return f_score(tp, fp, k) - F.when(k == 0, 1.0).otherwise(0.0)
+
+
+def _base(businesses: DataFrame) -> DataFrame:
+    """country, n businesses, none of them without true records: what a curve starts from where nothing is kept."""
+    return businesses.groupBy("country").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 0).alias("none"))
+
+
+def _counted(kept: DataFrame, businesses: DataFrame, names: list[str]) -> DataFrame:
+    """country, grid values, cand, tp, fp, k of the businesses that keep a pair there.
 
     Businesses that keep nothing at a point count 0, or 1 without true records: they come from totals, not from a cross join
     of businesses and points.
     """
     y = F.col("y")
     per = kept.groupBy("country", *names, "cand").agg(F.count_if(y).alias("tp"), F.count_if(~y).alias("fp"))
-    per = per.join(businesses.select(*KEY, "k"), KEY).withColumn("f", f_score(F.col("tp"), F.col("fp"), F.col("k")))
-    # what a kept business scores beyond what it would with nothing kept
-    per = per.withColumn("gain", F.col("f") - F.when(F.col("k") == 0, 1.0).otherwise(0.0))
-    gains = per.groupBy("country", *names).agg(F.sum("gain").alias("gain"))
-    base = businesses.groupBy("country").agg(F.count("*").alias("n"), F.count_if(F.col("k") == 0).alias("none"))
-    return base, gains
+    return per.join(businesses.select(*KEY, "k"), KEY)
 
 
 def _points(base: DataFrame, gains: DataFrame, points: DataFrame, names: list[str]) -> DataFrame:
@@ -103,10 +110,11 @@ def floor_curve(pairs: DataFrame, businesses: DataFrame, factors: list[float] =
     best = best_top(pairs).filter("best").join(businesses.select(*KEY), KEY, "left_semi")
     reach = sum((F.col("top") >= f).cast("int") for f in floors)
     kept = best.withColumn("factor", F.explode(F.array(*map(F.lit, factors)))).filter(F.col("prob") >= F.col("factor") * F.col("top"))
-    base, gains = _curve(kept.withColumn("reach", reach), businesses, ["factor", "reach"])
+    counts = _counted(kept.withColumn("reach", reach), businesses, ["factor", "reach"])
+    gains = counts.groupBy("country", "factor", "reach").agg(F.sum(_gain(F.col("tp"), F.col("fp"), F.col("k"))).alias("gain"))
     steps = grid(pairs, floor=floors).withColumn("least_", sum((F.col("floor") >= f).cast("int") for f in floors))
     per = gains.join(steps, F.col("reach") >= F.col("least_")).groupBy("country", "floor", "factor").agg(F.sum("gain").alias("gain"))
-    return _points(base, per, points, ["floor", "factor"])
+    return _points(_base(businesses), per, points, ["floor", "factor"])
 
 
 def tune_drawbridge(pairs: DataFrame, businesses: DataFrame) -> DataFrame:
@@ -116,10 +124,21 @@ def tune_drawbridge(pairs: DataFrame, businesses: DataFrame) -> DataFrame:
 
 
 def bar_curve(pairs: DataFrame, businesses: DataFrame, rules: DataFrame, bars: list[float] = BARS) -> DataFrame:
-    """country, bar, f05 at every bar on a record's score, on top of ``rules`` (country, floor, factor)."""
-    points = grid(pairs, bar=bars)
-    kept = drawbridge(pairs, rules).join(businesses.select(*KEY), KEY, "left_semi").crossJoin(points).filter(F.col("prob") >= F.col("bar"))
-    return _points(*_curve(kept, businesses, ["bar"]), points, ["bar"])
+    """country, bar, f05 at every bar on a record's score, on top of ``rules`` (country, floor, factor).
+
+    Pairs never meet the bars: a pair counts at the number of bars it reaches, a business's counts cumulate from the highest of
+    its reaches down (at most one row per bar), and the curve sums how much its gain changes at each.
+    """
+    kept = drawbridge(pairs, rules).join(businesses.select(*KEY), KEY, "left_semi")
+    counts = _counted(kept.withColumn("reach", sum((F.col("prob") >= x).cast("int") for x in bars)).filter("reach > 0"), businesses, ["reach"])
+    down = Window.partitionBy(*KEY).orderBy(F.desc("reach"))
+    upto = counts.withColumns({"tp": F.sum("tp").over(down), "fp": F.sum("fp").over(down)})
+    upto = upto.withColumn("gain", _gain(F.col("tp"), F.col("fp"), F.col("k")))
+    step = F.col("gain") - F.coalesce(F.lag("gain").over(down), F.lit(0.0))
+    changes = upto.withColumn("step_", step).groupBy("country", "reach").agg(F.sum("step_").alias("gain"))
+    steps = grid(pairs, bar=bars).withColumn("least_", sum((F.col("bar") >= x).cast("int") for x in bars))
+    per = changes.join(steps, F.col("reach") >= F.col("least_")).groupBy("country", "bar").agg(F.sum("gain").alias("gain"))
+    return _points(_base(businesses), per, grid(pairs, bar=bars), ["bar"])
 
 
 def safe_range(points: DataFrame, value: str, tolerance: float = TOLERANCE) -> DataFrame:
@@ -134,6 +153,11 @@ def safe_range(points: DataFrame, value: str, tolerance: float = TOLERANCE) -> D
     return inside.groupBy("country").agg(F.min(value).alias("safe_lo"), F.max(value).alias("safe_hi"))
 
 
+def bins(score: Column) -> Column:
+    """Ranges of a probability that keep its order: some 8,000 steps of its logit, finest where tree scores crowd, near 0 and 1."""
+    return F.floor(text.logit(score) * 256)
+
+
 def count_bar(pairs: DataFrame, rules: DataFrame, businesses: DataFrame) -> DataFrame:
     """country, bar: the score of the n-th best pair kept, n = target times businesses (rounded half to even); 1 if n is 0.
 
@@ -144,11 +168,11 @@ def count_bar(pairs: DataFrame, rules: DataFrame, businesses: DataFrame) -> Data
     got = kept.groupBy("country").agg(F.count("*").alias("got"))
     want = rules.select("country", "target").join(n, "country").join(got, "country", "left")
     want = want.select("country", F.least(F.bround(F.col("target") * F.col("n_")).cast("long"), F.coalesce("got", F.lit(0))).alias("want"))
-    counts = kept.withColumn("bin_", F.floor(F.col("prob") * 4096)).groupBy("country", "bin_").agg(F.count("*").alias("c_"))
+    counts = kept.withColumn("bin_", bins(F.col("prob"))).groupBy("country", "bin_").agg(F.count("*").alias("c_"))
     ahead = Window.partitionBy("country").orderBy(F.desc("bin_")).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("ahead_", F.coalesce(F.sum("c_").over(ahead), F.lit(0))).join(want, "country")
     here = counts.filter((F.col("want") > F.col("ahead_")) & (F.col("want") <= F.col("ahead_") + F.col("c_")))
-    near = kept.withColumn("bin_", F.floor(F.col("prob") * 4096)).join(F.broadcast(here.select("country", "bin_", "ahead_", "want")), ["country", "bin_"])
+    near = kept.withColumn("bin_", bins(F.col("prob"))).join(F.broadcast(here.select("country", "bin_", "ahead_", "want")), ["country", "bin_"])
     values = near.groupBy("country", "prob", "ahead_", "want").agg(F.count("*").alias("c_"))
     running = F.sum("c_").over(Window.partitionBy("country").orderBy(F.desc("prob")))
     hit = values.withColumn("upto_", F.col("ahead_") + running).filter((F.col("upto_") >= F.col("want")) & (F.col("upto_") - F.col("c_") < F.col("want")))
@@ -158,16 +182,23 @@ def count_bar(pairs: DataFrame, rules: DataFrame, businesses: DataFrame) -> Data
 def count_floor(pairs: DataFrame, rules: DataFrame, businesses: DataFrame) -> DataFrame:
     """country, floor: the best score of a business at which as many pairs as possible to target are kept (ties: the greater).
 
-    ``rules``: country, factor, target. Only distinct best scores are candidates, and counts cumulate over them.
+    ``rules``: country, factor, target. Only distinct best scores are candidates. What is kept grows as the floor goes down, so
+    they are the ends of score ranges and the scores inside the ranges where the target is passed; no country is sorted as a whole.
     """
     rows = best_top(pairs).join(F.broadcast(rules.select("country", "factor", "target")), "country")
     kept = rows.filter(F.col("best") & (F.col("prob") >= F.col("factor") * F.col("top")))
-    tops = kept.groupBy("country", "top", "target").agg(F.count("*").alias("c_"))
-    tops = tops.withColumn("upto_", F.sum("c_").over(Window.partitionBy("country").orderBy(F.desc("top"))))
+    tops = kept.groupBy("country", "top", "target").agg(F.count("*").alias("c_")).withColumn("bin_", bins(F.col("top")))
     n = businesses.groupBy("country").agg(F.count("*").alias("n_"))
-    gap = F.abs(F.col("upto_") - F.col("target") * F.col("n_"))
-    order = Window.partitionBy("country").orderBy(F.round(gap, 9), F.desc("top"))
-    return tops.join(n, "country").withColumn("nth_", F.row_number().over(order)).filter("nth_ = 1").select("country", F.col("top").alias("floor"))
+    ranges = tops.groupBy("country", "bin_", "target").agg(F.sum("c_").alias("c_"), F.min("top").alias("top")).join(n, "country")
+    ahead = Window.partitionBy("country").orderBy(F.desc("bin_")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("goal_", F.col("target") * F.col("n_")).withColumn("ahead_", F.coalesce(F.sum("c_").over(ahead), F.lit(0)))
+    end = F.col("ahead_") + F.col("c_")
+    passed = ranges.filter((F.col("ahead_") <= F.greatest("goal_", F.lit(0.0))) & (F.col("goal_") <= end)).select("country", "bin_", "ahead_", "goal_")
+    inside = tops.join(F.broadcast(passed), ["country", "bin_"])
+    upto = F.col("ahead_") + F.sum("c_").over(Window.partitionBy("country", "bin_").orderBy(F.desc("top")))
+    values = ranges.select("country", "top", "goal_", end.alias("upto_")).unionByName(inside.select("country", "top", "goal_", upto.alias("upto_")))
+    order = Window.partitionBy("country").orderBy(F.round(F.abs(F.col("upto_") - F.col("goal_")), 9), F.desc("top"))
+    return values.withColumn("nth_", F.row_number().over(order)).filter("nth_ = 1").select("country", F.col("top").alias("floor"))
 
 
 def tune_rule(pairs: DataFrame, tune: DataFrame, report: DataFrame) -> DataFrame:
@@ -204,6 +235,14 @@ def decide_test(pairs: DataFrame, rules: DataFrame, businesses: DataFrame) -> Da
     return drawbridge(pairs, rules.select("country", "floor", "factor")).join(F.broadcast(bars), "country").filter("prob >= bar")
 
 
+def trim_statistics(pairs: DataFrame, businesses: DataFrame, score: str = "prob") -> DataFrame:
+    """pairs_per_business and recall (share of true pairs) of the pairs that the trim keeps."""
+    keep = F.col(score) >= TRIM
+    kept = pairs.agg(F.count_if(keep).alias("kept_"), F.count_if(keep & F.col("y")).alias("true_"), F.count_if("y").alias("all_"))
+    n = businesses.agg(F.count("*").alias("n_"))  # both sides are one row
+    return kept.crossJoin(n).select((F.col("kept_") / F.col("n_")).alias("pairs_per_business"), (F.col("true_") / F.col("all_")).alias("recall"))
+
+
 def blend(pairs: DataFrame, tree: str, second: str, out: str = "prob") -> DataFrame:
     """The second model's probability where the trees are unsure, the trees' elsewhere (or where the second is null)."""
     unsure = (F.col(tree) > BAND[0]) & (F.col(tree) < BAND[1]) & F.col(second).isNotNull()

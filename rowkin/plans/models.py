@@ -25,7 +25,8 @@ def trees(columns: list[str], rounds: int, rate: float, depth: int, least: int,
     model = GBTClassifier(featuresCol="x_", labelCol="y_", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=SEED)
     model = model.setFeatureSubsetStrategy(str(share) if share < 1 else "all")
     if validation:
-        model = model.setValidationIndicatorCol(validation)
+        # at its default the tolerance ends training at gains under 1 %; at 0, once the validation rows' error rises
+        model = model.setValidationIndicatorCol(validation).setValidationTol(0.0)
     return Pipeline(stages=[vector, model])
 
 
@@ -39,6 +40,11 @@ def final_trees(rounds: int = 3000, least: int = 500, validation: str | None = "
     return trees(FEATURES, rounds, 0.05, 8, least, 0.8, validation)
 
 
+def default_trees(columns: list[str] = FEATURES, rounds: int = 300, least: int = 50, validation: str | None = None) -> Pipeline:
+    """Trees of up to 64 leaves, for columns of no particular size."""
+    return trees(columns, rounds, 0.05, 6, least, 0.9, validation)
+
+
 def fit(pipeline: Pipeline, rows: DataFrame) -> PipelineModel:
     return pipeline.fit(rows.withColumn("y_", F.col("y").cast("double")))
 
@@ -56,8 +62,9 @@ def fitted_or_saved(pipeline: Pipeline, rows: DataFrame, path: str | None) -> Pi
         if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
             return PipelineModel.load(path)
     model = fit(pipeline, rows)
-    if path:
-        model.write().save(path)
+    if path:  # under its own name only once it is whole, so that a run that was stopped leaves nothing to be read
+        model.write().overwrite().save(f"{path}.part")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).rename(spark._jvm.org.apache.hadoop.fs.Path(f"{path}.part"), folder)
     return model
 
 
@@ -82,9 +89,11 @@ def trimmed(pairs: DataFrame, rounds: int = 100, least: int = 100) -> DataFrame:
 Scorer = Callable[[DataFrame], Callable[[DataFrame, str], DataFrame]]
 
 
-def text_scorer(buckets: int = 1 << 12, iterations: int = 40) -> Scorer:
+def text_scorer(buckets: int = 1 << 12, iterations: int = 40, path: str | None = None) -> Scorer:
     """The default second scorer: logistic regression on hashed character trigrams the two texts share or don't.
 
+    With ``path`` a fitted model is saved there, and a later run reads it instead of fitting again.
+
     It stands in for a cross-encoder, which needs a GPU and libraries that are not assumed; any ``Scorer`` can take its place.
     """
 
@@ -103,7 +112,7 @@ def text_scorer(buckets: int = 1 << 12, iterations: int = 40) -> Scorer:
             VectorAssembler(inputCols=["tf_", "share_"], outputCol="x_"),
             LogisticRegression(featuresCol="x_", labelCol="y_", regParam=1e-3, maxIter=iterations),
         ]
-        model = Pipeline(stages=stages).fit(prepared(pairs).withColumn("y_", F.col("y").cast("double")))
+        model = fitted_or_saved(Pipeline(stages=stages), prepared(pairs), path)
 
         def score(rows: DataFrame, out: str) -> DataFrame:
             return model.transform(prepared(rows)).withColumn(out, vector_to_array("rawPrediction")[1]).select(*rows.columns, out)
@@ -117,12 +126,15 @@ def unsure(p: Column) -> Column:
     return (p > BAND[0]) & (p < BAND[1])
 
 
-def stacker(rows: DataFrame, c: float = 1e4) -> PipelineModel:
-    """Logistic regression on the trees' and the second scorer's logits; ``rows``: tree, second, y. ``c`` is inverse strength."""
+def stacker(rows: DataFrame, c: float = 1e4, path: str | None = None) -> PipelineModel:
+    """Logistic regression on the trees' and the second scorer's logits; ``rows``: tree, second, y. ``c`` is inverse strength.
+
+    With ``path`` a fitted model is saved there or read from there.
+    """
     n = max(1, rows.count())
     vector = VectorAssembler(inputCols=["tree_logit_", "second"], outputCol="x_")
     model = LogisticRegression(featuresCol="x_", labelCol="y_", regParam=1 / (c * n), standardization=False, maxIter=1000)
-    return Pipeline(stages=[vector, model]).fit(rows.withColumn("tree_logit_", text.logit(F.col("tree"))).withColumn("y_", F.col("y").cast("double")))
+    return fitted_or_saved(Pipeline(stages=[vector, model]), rows.withColumn("tree_logit_", text.logit(F.col("tree"))), path)
 
 
 def stacked(model: PipelineModel, rows: DataFrame, out: str = "prob") -> DataFrame:

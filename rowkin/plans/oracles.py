@@ -226,7 +226,13 @@ ORACLES: dict[str, str] = {
         union all select 'bad_other_id', count(*) from c where not regexp_matches(other_id, '^S[23]-')
         union all select 'unknown_source1_id', count(*) from c where source1_entity_id not in (select entity_id from p_s1 where k % 10 <> 0)
     """,
-    "output_digest": f"with {VIEWS} select (select count(*) from p_s1) as rows, count(distinct source1_entity_id) as filled, count(*) as ids from p_truth",
+    "output_digest": f"""
+        with {VIEWS}, l as (select s.entity_id, coalesce(string_agg(t.other_id, ',' order by t.other_id), '') as ids, count(t.other_id) as n
+            from p_s1 s left join p_truth t on t.source1_entity_id = s.entity_id group by s.entity_id),
+        h as (select n, sha256(concat(entity_id, chr(9), ids)) as x from l)
+        select count(*) as rows, count(*) filter (where n > 0) as filled, cast(sum(n) as bigint) as ids,
+            sha256(concat_ws('-', {", ".join(f"cast(sum(cast(('0x' || substr(x, {1 + 12 * i}, 12)) as bigint)) as varchar)" for i in range(5))})) as sha256 from h
+    """,
     "output_positions": f"with {VIEWS} select entity_id, row_number() over (order by entity_id) - 1 as position from p_s1",
     "country_sizes": f"with {VIEWS} select country, count(*) as n from p_s1 group by country",
     "translit_learn": f"""
@@ -321,6 +327,28 @@ ORACLES: dict[str, str] = {
     "count_bar": f"{DECISION}, p as (select prob, row_number() over (order by prob desc) as nth from ({kept('0.3', '0.5')})) select coalesce((select prob from p where nth = least(round_even(20.0 * (select count(*) from biz), 0), (select count(*) from p))), 1.0) as bar",
     "count_floor": f"""{DECISION}, t as (select top, count(*) as n from topped where best and prob >= 0.9 * top group by top), u as (select top, sum(n) over (order by top desc) as upto from t)
         select top as floor from u order by round(abs(upto - 3.0 * (select count(*) from biz)), 9), top desc limit 1""",
+    "decide_test": f"""{DECISION}, p as (select rec, cand, prob, row_number() over (order by prob desc) as nth from ({kept('0.3', '0.5')})),
+        b as (select least(greatest(coalesce((select prob from p where nth = least(round_even(20.0 * (select count(*) from biz), 0), (select count(*) from p))), 1.0), 0.4), 0.9) as bar)
+        select rec, cand from p where prob >= (select bar from b)""",
+    "rule_for": f"""
+        with r as (select n_name as country, n_nationkey / 100.0 as floor, n_nationkey / 50.0 as factor, n_nationkey * 1.0 as target, n_nationkey / 40.0 as safe_lo, n_nationkey / 30.0 as safe_hi from nation),
+        own as (select * from r where length(country) % 2 = 0),
+        pooled as (select avg(floor) as floor, avg(factor) as factor, avg(target) as target, min(safe_lo) as safe_lo, max(safe_hi) as safe_hi from own)
+        select r.country, {", ".join(f"round(coalesce(o.{x}, p.{x}), 9) as {x}" for x in ("floor", "factor", "target", "safe_lo", "safe_hi"))}
+        from r left join own o on o.country = r.country cross join pooled p
+    """,
+    "tune_rule": f"""{DECISION.replace(" biz as", " every_biz as")}, biz as (select * from every_biz where cand % 2 = 0),
+        r as (select floor, factor from ({FLOOR_CURVE}) order by f05 desc, floor, factor limit 1),
+        k as (select t.* from topped t, r where t.best and t.top >= r.floor and t.prob >= r.factor * t.top),
+        c as ({f05(f"select g.bar, k.cand, k.y from k cross join {grid('bar', BARS)} g where k.prob >= g.bar", "bar", grid("bar", BARS))}),
+        b as (select bar from c order by f05 desc, bar limit 1),
+        m as (select *, f05 >= max(f05) over () - 0.001 as good from c), runs as (select *, sum(cast(not good as int)) over (order by bar) as run from m),
+        safe as (select min(bar) as safe_lo, max(bar) as safe_hi from runs where good and run = (select run from runs where bar = (select bar from b))),
+        a as (select k.* from k, b where k.prob >= b.bar),
+        odd as (select e.cand, e.k, count(*) filter (where a.y) as tp, count(*) filter (where not a.y) as fp from every_biz e left join a on a.cand = e.cand where e.cand % 2 = 1 group by all)
+        select round(r.floor, 9) as floor, round(r.factor, 9) as factor, round(b.bar, 9) as bar, round(safe.safe_lo, 9) as safe_lo, round(safe.safe_hi, 9) as safe_hi,
+            round((select count(*) from a where cand in (select cand from biz)) / (select count(*) from biz), 9) as target,
+            round((select avg(case when k = 0 and fp = 0 then 1.0 else 1.25 * tp / (1.25 * tp + 0.25 * (k - tp) + fp) end) from odd), 9) as report from r, b, safe""",
     "pooled_rule": "select round(avg(n_nationkey / 100.0), 9) as floor, round(avg(n_nationkey / 50.0), 9) as factor, round(avg(n_nationkey * 1.0), 9) as target, round(min(n_nationkey / 40.0), 9) as safe_lo, round(max(n_nationkey / 30.0), 9) as safe_hi from nation",
     "band_blend": f"with {VIEWS} select rec, cand, round(case when prob > 0.05 and prob < 0.95 and rec % 2 = 0 then 1 - prob else prob end, 9) as blended from l_pairs",
     "trim_statistics": f"{DECISION} select round(count(*) filter (where prob >= 0.01) / (select count(*) from biz), 9) as pairs_per_business, round(count(*) filter (where prob >= 0.01 and y) / count(*) filter (where y), 9) as recall from l_pairs",

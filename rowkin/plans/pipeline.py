@@ -73,11 +73,16 @@ def shortlist(s1: DataFrame, records: DataFrame, k: int) -> DataFrame:
     return blocking.shortlist(searchable(s1), searchable(records), ["n", "a"], k)
 
 
+def country_sizes(rows: DataFrame) -> DataFrame:
+    """country, n: rows of each country."""
+    return rows.groupBy("country").agg(F.count("*").alias("n"))
+
+
 def delete_counts(s1: DataFrame, records: DataFrame, test_s1: DataFrame, test_records: DataFrame) -> DataFrame:
     """country, n_delete of every training country; a row per country passes through the driver."""
 
     def sizes(rows: DataFrame) -> dict[str, int]:
-        return {r["country"]: r["count"] for r in rows.groupBy("country").count().collect()}
+        return {r["country"]: r["n"] for r in country_sizes(rows).collect()}
 
     a, b, c, d = map(sizes, (s1, records, test_s1, test_records))
     rows = [(k, max(0, testlike.n_to_delete(n, b.get(k, 0), c.get(k, 0), d.get(k, 0)))) for k, n in a.items()]
@@ -106,6 +111,11 @@ def pair_texts(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFrame
     return pairs.join(own(records, "rec_id", "a"), ["country", "rec_id"]).join(own(s1, "cand_id", "b"), ["country", "cand_id"])
 
 
+def other_texts(pairs: DataFrame, begun: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs whose ``keys`` are not among those of ``begun``."""
+    return pairs.join(begun.select(*keys).distinct(), keys, "left_anti").select(*pairs.columns)
+
+
 def pair_sample(pairs: DataFrame, first: int, more: int) -> DataFrame:
     """Training pairs for the second scorer: ``first`` in a random order, then ``more`` of other texts.
 
@@ -119,8 +129,7 @@ def pair_sample(pairs: DataFrame, first: int, more: int) -> DataFrame:
         return first_by_hash(keyed, testlike.hash_order("country", "rec_id", "cand_id"), F.col("most_")).select(*pairs.columns)
 
     begun = some(pairs, first)
-    others = pairs.join(begun.select("a", "b", "country").distinct(), ["a", "b", "country"], "left_anti").select(*pairs.columns)
-    return begun.unionByName(some(others, more))
+    return begun.unionByName(some(other_texts(pairs, begun, ["country", "a", "b"]), more))
 
 
 def train(stages: Stages, s1: DataFrame, records: DataFrame, truth: DataFrame, test_s1: DataFrame, test_records: DataFrame, settings: Settings, scorer=None) -> Trained:
@@ -146,14 +155,14 @@ def train(stages: Stages, s1: DataFrame, records: DataFrame, truth: DataFrame, t
     fit_on = pairs.filter("keep").join(business.select("cand_id", "v_tune"), "cand_id").filter("train or v_tune").withColumn("valid_", ~F.col("train"))
     trees = models.fitted_or_saved(models.final_trees(settings.tree_rounds, settings.tree_least), fit_on, stages.path("tree_model"))
     sample = stages("second_pairs", lambda: pair_sample(pair_texts(pairs.filter("train and keep").select("country", "rec_id", "cand_id", "y"), kept, theirs), settings.pair_first, settings.pair_more))
-    second = (scorer or models.text_scorer())(sample)
+    second = (scorer or models.text_scorer(path=stages.path("second_model")))(sample)
     chosen = business.filter("v_tune or v_report").filter(testlike.uniform("cand_id", seed=testlike.SEED + 2) < settings.evaluation)
     evaluated = pairs.filter("keep and not train")
     touched = evaluated.join(chosen.select("cand_id"), "cand_id", "left_semi").select("rec_id").distinct()
     selected = models.probability(trees, evaluated.join(touched, "rec_id", "left_semi"), "tree").select("country", "rec_id", "cand_id", "rank", "y", "tree")
     selected = stages("evaluated", lambda: second(pair_texts(selected, kept, theirs), "second").drop("a", "b"))
     tune_on = selected.join(chosen.filter("v_tune").select("cand_id"), "cand_id", "left_semi").filter(models.unsure(F.col("tree")))
-    stack = models.stacker(tune_on) if tune_on.groupBy("y").count().count() == 2 else None
+    stack = models.stacker(tune_on, path=stages.path("stacker")) if tune_on.groupBy("y").count().count() == 2 else None
     blended = models.stacked(stack, selected) if stack else selected.withColumn("prob", F.col("tree"))
     scored = blended.select("country", F.col("rec_id").alias("rec"), F.col("cand_id").alias("cand"), F.col("rank").alias("rnk"), "prob", "y")
     scored = stages("scored", lambda: scored)

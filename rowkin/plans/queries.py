@@ -169,8 +169,7 @@ def fold_semi(spark, sf_dir):
 @query
 def pool_anti(spark, sf_dir):
     pool = fixtures.p_ot(spark, sf_dir).select("country", text.pair_text(c("business_name"), c("business_address")).alias("a"))
-    first = pool.filter(F.length("a") % 3 == 0).distinct()
-    return pool.join(first, ["country", "a"], "left_anti")
+    return pipeline.other_texts(pool, pool.filter(F.length("a") % 3 == 0), ["country", "a"])
 
 
 @query
@@ -188,7 +187,7 @@ def output_checks(spark, sf_dir):
 @query
 def output_digest(spark, sf_dir):
     lists = tsv.id_lists(fixtures.p_s1(spark, sf_dir).select("entity_id"), fixtures.p_truth(spark, sf_dir), "ids_")
-    return tsv.output_digest(lists.withColumnRenamed("entity_id", "source1_entity_id"), "ids_").drop("sha256")
+    return tsv.output_digest(lists.withColumnRenamed("entity_id", "source1_entity_id"), "ids_")
 
 
 @query
@@ -198,7 +197,7 @@ def output_positions(spark, sf_dir):
 
 @query
 def country_sizes(spark, sf_dir):
-    return fixtures.p_s1(spark, sf_dir).groupBy("country").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "country")
+    return pipeline.country_sizes(fixtures.p_s1(spark, sf_dir)).orderBy(F.desc("n"), "country")
 
 
 # ---- transliteration
@@ -577,13 +576,41 @@ def count_floor(spark, sf_dir):
     return decision.count_floor(scored(spark, sf_dir), rule(spark, factor=0.9, target=3.0), businesses(spark, sf_dir)).select("floor")
 
 
-@query
-def pooled_rule(spark, sf_dir):
-    rules = fixtures.table(spark, sf_dir, "nation").select(
+def nation_rules(spark, sf_dir) -> DataFrame:
+    """A made-up rule for each nation."""
+    return fixtures.table(spark, sf_dir, "nation").select(
         c("n_name").alias("country"), (c("n_nationkey") / 100.0).alias("floor"), (c("n_nationkey") / 50.0).alias("factor"),
         (c("n_nationkey") * 1.0).alias("target"), (c("n_nationkey") / 40.0).alias("safe_lo"), (c("n_nationkey") / 30.0).alias("safe_hi"),
     )
-    return decision.pooled_rule(rules).select(*[F.round(x, 9).alias(x) for x in ("floor", "factor", "target", "safe_lo", "safe_hi")])
+
+
+RULE = ("floor", "factor", "target", "safe_lo", "safe_hi")
+
+
+@query
+def pooled_rule(spark, sf_dir):
+    return decision.pooled_rule(nation_rules(spark, sf_dir)).select(*[F.round(x, 9).alias(x) for x in RULE])
+
+
+@query
+def rule_for(spark, sf_dir):
+    """Every other nation by name length has a rule of its own; the rest get the pooled one."""
+    rules = nation_rules(spark, sf_dir)
+    return decision.rule_for(rules, rules.filter(F.length("country") % 2 == 0)).select("country", *[F.round(x, 9).alias(x) for x in RULE])
+
+
+@query
+def tune_rule(spark, sf_dir):
+    """Tuned on businesses of even numbers, reported on the others."""
+    rows = businesses(spark, sf_dir)
+    found = decision.tune_rule(scored(spark, sf_dir), rows.filter("cand % 2 = 0"), rows.filter("cand % 2 = 1"))
+    return found.select(*[F.round(x, 9).alias(x) for x in ("floor", "factor", "bar", "safe_lo", "safe_hi", "target", "report")])
+
+
+@query
+def decide_test(spark, sf_dir):
+    rules = rule(spark, floor=0.3, factor=0.5, target=20.0, safe_lo=0.4, safe_hi=0.9)
+    return decision.decide_test(scored(spark, sf_dir), rules, businesses(spark, sf_dir)).select("rec", "cand")
 
 
 @query
@@ -594,10 +621,8 @@ def band_blend(spark, sf_dir):
 
 @query
 def trim_statistics(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    n = businesses(spark, sf_dir).agg(F.count("*").alias("n"))
-    kept = rows.agg(F.count_if(c("prob") >= decision.TRIM).alias("kept"), F.count_if((c("prob") >= decision.TRIM) & c("y")).alias("true_kept"), F.count_if(c("y")).alias("true_all"))
-    return kept.crossJoin(n).select(F.round(c("kept") / c("n"), 9).alias("pairs_per_business"), F.round(c("true_kept") / c("true_all"), 9).alias("recall"))
+    found = decision.trim_statistics(scored(spark, sf_dir), businesses(spark, sf_dir))
+    return found.select(*[F.round(x, 9).alias(x) for x in ("pairs_per_business", "recall")])
 
 
 # ---- models
