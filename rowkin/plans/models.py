@@ -20,13 +20,16 @@ CHEAP = ["score", "rank", "gap_top1", "margin12", "cos_name", "cos_addr"]
 
 
 def trees(columns: list[str], rounds: int, rate: float, depth: int, least: int, share: float = 1.0, validation: str | None = None) -> Pipeline:
-    """Assembled features and gradient-boosted trees on ``y`` (double)."""
+    """Assembled features and gradient-boosted trees on ``y`` (double).
+
+    With ``validation`` (a boolean column) training ends once the error of those rows rises; the library's default tolerance would
+    end it at the first gain under 1 %.
+    """
     vector = VectorAssembler(inputCols=columns, outputCol="x_", handleInvalid="keep")
-    model = GBTClassifier(featuresCol="x_", labelCol="y_", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, seed=SEED)
+    model = GBTClassifier(featuresCol="x_", labelCol="y_", maxIter=rounds, stepSize=rate, maxDepth=depth, minInstancesPerNode=least, validationTol=0.0, seed=SEED)
     model = model.setFeatureSubsetStrategy(str(share) if share < 1 else "all")
     if validation:
-        # at its default the tolerance ends training at gains under 1 %; at 0, once the validation rows' error rises
-        model = model.setValidationIndicatorCol(validation).setValidationTol(0.0)
+        model = model.setValidationIndicatorCol(validation)
     return Pipeline(stages=[vector, model])
 
 
