@@ -1,13 +1,16 @@
-"""Blocking: character-trigram TF-IDF and the exact top-k similarity join on an inverted index."""
+"""Blocking: character-trigram TF-IDF and the exact top-k similarity join."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rowkin.operators import search
 from rowkin.operators.sampling import first_by_hash, hash_order
+from rowkin.session import shared_folder
 
 
 def trigrams(cleaned: Column) -> Column:
@@ -58,19 +61,6 @@ def vectors(s1: DataFrame, records: DataFrame, parts: list[str], sample: int | N
     return weights(ours.unionByName(theirs), inverse_frequency(fit, n))
 
 
-def similarities(weighted: DataFrame, parts: list[str]) -> DataFrame:
-    """country, rec_id, cand_id, score and a cosine per part, of all pairs that share a gram.
-
-    One equi-join on (country, part, gram) with partial sums; score is the mean of the parts' cosines.
-    """
-    records = weighted.filter("side = 'r'").select("country", "part", "gram", F.col("id").alias("rec_id"), F.col("w").alias("w_r"))
-    ours = weighted.filter("side = 's'").select("country", "part", "gram", F.col("id").alias("cand_id"), F.col("w").alias("w_s"))
-    product = F.col("w_r") * F.col("w_s")
-    cosines = [F.sum(F.when(F.col("part") == p, product).otherwise(0.0)).alias(f"cos_{p}") for p in parts]
-    met = records.join(ours, ["country", "part", "gram"]).groupBy("country", "rec_id", "cand_id")
-    return met.agg((F.sum(product) / len(parts)).alias("score"), *cosines)
-
-
 def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     """The k best candidates of each record, with 0-based rank. Scores are rounded first; ties go to the smaller cand_id."""
     rounded = scored.withColumn("score", F.round("score", digits))
@@ -78,29 +68,59 @@ def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
     return rounded.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
 
 
-def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, sample: int | None = None) -> DataFrame:
+def staged(rows: DataFrame) -> DataFrame:
+    """Rows written once to the shared folder and read back."""
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark.sparkContext)}/rowkin/search-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, sample: int | None = None, digits: int = 9) -> DataFrame:
     """country, rec_id, cand_id, rank, score and cosines of every record's k best Source 1 rows.
 
-    Records with equal texts share one search: their distinct texts go through the join, and its rows are dealt back. Document
-    frequencies count all records, or ``sample`` of each country.
+    Score is the mean of the parts' cosines. Equal texts of either side share one search (``search.py``): distinct texts go through it
+    as packed chunks, each meeting every block of its country's Source 1 texts, and its rows are dealt back. Inverse frequencies reach
+    a chunk by its distinct grams. Document frequencies count all records, or ``sample`` of each country.
     """
-    texts = records.withColumn("text_", F.sha2(F.concat_ws("\u0001", "country", *[F.coalesce(F.col(p), F.lit("")) for p in parts]), 256))
-    ours = s1.select("country", F.col("id").cast("string").alias("id"), *parts)
-    every = texts.select("country", F.col("id").cast("string").alias("id"), *parts, "text_")
-    first = every.groupBy("country", "text_", *parts).agg(F.min("id").alias("id"))
-    grams = gram_table(ours, parts, "s").unionByName(gram_table(first.select("country", "id", *parts), parts, "r"))
-    fitted = fit_rows(every.select("country", "id"), sample)
-    # document frequency counts every text, so grams of a distinct text weigh as often as it stands in the fit set
-    fit = every if sample is None else every.join(fitted, ["country", "id"], "left_semi")
-    times = fit.groupBy("country", "text_").agg(F.count("*").alias("times"))
-    weight = first.join(times, ["country", "text_"], "left").select("country", F.col("id"), F.lit("r").alias("side"), F.coalesce("times", F.lit(0)).alias("times"))
-    counted = grams.join(weight, ["country", "side", "id"], "left").withColumn("times", F.when(F.col("side") == "s", 1).otherwise(F.col("times")))
-    df = counted.groupBy("country", "part", "gram").agg(F.sum("times").alias("df")).filter("df >= 2")
-    n = ours.select("country").unionByName(fitted.select("country")).groupBy("country").agg(F.count("*").alias("n"))
-    idf = df.join(n, "country").select("country", "part", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    best = top_k(similarities(weights(grams, idf), parts), k)
-    dealt = every.select("country", "text_", F.col("id").alias("own_id")).join(first.select("country", "text_", F.col("id").alias("rec_id")), ["country", "text_"])
-    return dealt.join(best, ["country", "rec_id"]).select("country", F.col("own_id").alias("rec_id"), "cand_id", "rank", "score", *[f"cos_{p}" for p in parts])
+    if len(parts) > search.MOST_PARTS:
+        raise ValueError(f"at most {search.MOST_PARTS} parts")
+
+    def side(rows: DataFrame, ours: bool) -> DataFrame:
+        texts = [F.coalesce(F.col(p), F.lit("")).alias(p) for p in parts]
+        rows = rows.filter("country is not null").select("country", F.col("id").cast("string").alias("id"), *texts)
+        key = F.unhex(F.sha2(F.concat_ws("\u0001", "country", *parts), 256))
+        return rows.withColumns({"text_": key, "ours_": F.lit(ours)})
+
+    ours, theirs = side(s1, True), side(records, False)
+    fitted = theirs.withColumn("fit_", F.lit(1))
+    if sample is not None:
+        chosen = fit_rows(theirs.select("country", "id"), sample).select("country", "id", F.lit(1).alias("fit_"))
+        fitted = theirs.join(chosen, ["country", "id"], "left").na.fill(0, ["fit_"])
+    every = ours.withColumn("fit_", F.lit(1)).unionByName(fitted)
+    texts = every.groupBy("country", "text_", *parts).agg(
+        F.min(F.when(F.col("ours_"), F.col("id"))).alias("first"), F.count_if("ours_").alias("n_s"), F.count_if(~F.col("ours_")).alias("n_r"), F.sum("fit_").alias("n_fit")
+    )
+    chunks = staged(texts.mapInArrow(search.chunked(parts), search.CHUNK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id()))
+    grams = chunks.select("country", "chunk", F.explode(F.arrays_zip("grams", "dfs")).alias("g")).select("country", "chunk", F.col("g.grams").alias("gram"), F.col("g.dfs").alias("df"))
+    n = chunks.groupBy("country").agg(F.sum("n_fit").alias("n"))
+    df = grams.groupBy("country", "gram").agg(F.sum("df").alias("df")).filter("df >= 2")
+    idf = df.join(n, "country").select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    known = grams.join(idf, ["country", "gram"]).groupBy("chunk").agg(F.collect_list(F.struct("gram", "idf")).alias("known"))
+    blocks = chunks.groupBy("country").agg(F.ceil(F.sum("n_s") / search.BLOCK_ROWS).alias("blocks_"))  # a row per country
+    members = chunks.filter("n_s > 0").select("country", "chunk", "grams", "ours").join(known, "chunk").join(blocks, "country")
+    number = F.pmod(F.xxhash64("chunk"), F.col("blocks_"))
+    block = members.groupBy("country", number.alias("block_")).agg(F.array_sort(F.collect_list(F.struct("chunk", "ours", "grams", "known"))).alias("block"))
+    met = chunks.filter("n_r > 0").select("country", "chunk", "grams", "theirs").join(known, "chunk").join(block.select("country", "block").hint("shuffle_replicate_nl"), "country")
+    found = met.mapInArrow(search.found(k, len(parts), digits), search.FOUND_SCHEMA)
+    # of equal Source 1 texts, the k smallest ids can be among the best
+    nth = F.row_number().over(Window.partitionBy("country", "text_").orderBy("id"))
+    copies = ours.select("country", "text_", "id").withColumn("nth_", nth).filter(F.col("nth_") <= k)
+    scored = found.join(copies.select("country", F.col("text_").alias("cand_text_"), F.col("id").alias("cand_id")), ["country", "cand_text_"])
+    best = top_k(scored.withColumnRenamed("text_", "rec_id"), k, digits).withColumnRenamed("rec_id", "text_")
+    cosines = [F.col("cosines")[i].alias(f"cos_{p}") for i, p in enumerate(parts)]
+    dealt = theirs.select("country", "text_", F.col("id").alias("rec_id")).join(best, ["country", "text_"])
+    return dealt.select("country", "rec_id", "cand_id", "rank", "score", *cosines)
 
 
 def compact(short: DataFrame, deleted: DataFrame, k: int = 3) -> DataFrame:
