@@ -102,7 +102,7 @@ def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, s
         F.min(F.when(F.col("ours_"), F.col("id"))).alias("first"), F.count_if("ours_").alias("n_s"), F.count_if(~F.col("ours_")).alias("n_r"), F.sum("fit_").alias("n_fit")
     )
     chunks = staged(texts.mapInArrow(search.chunked(parts), search.CHUNK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id()))
-    grams = chunks.select("country", "chunk", F.explode(F.arrays_zip("grams", "dfs")).alias("g")).select("country", "chunk", F.col("g.grams").alias("gram"), F.col("g.dfs").alias("df"))
+    grams = chunks.select("country", "chunk", F.inline("grams"))
     n = chunks.groupBy("country").agg(F.sum("n_fit").alias("n"))
     df = grams.groupBy("country", "gram").agg(F.sum("df").alias("df")).filter("df >= 2")
     idf = df.join(n, "country").select("country", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
@@ -111,7 +111,9 @@ def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, s
     members = chunks.filter("n_s > 0").select("country", "chunk", "grams", "ours").join(known, "chunk").join(blocks, "country")
     number = F.pmod(F.xxhash64("chunk"), F.col("blocks_"))
     block = members.groupBy("country", number.alias("block_")).agg(F.array_sort(F.collect_list(F.struct("chunk", "ours", "grams", "known"))).alias("block"))
-    met = chunks.filter("n_r > 0").select("country", "chunk", "grams", "theirs").join(known, "chunk").join(block.select("country", "block").hint("shuffle_replicate_nl"), "country")
+    tasks = -(-(chunks.agg(F.sum("n_s")).first()[0] or 1) // search.TASK_ROWS)
+    block = block.select("country", "block").repartition(tasks)
+    met = chunks.filter("n_r > 0").select("country", "chunk", "grams", "theirs").join(known, "chunk").join(block.hint("shuffle_replicate_nl"), "country")
     found = met.mapInArrow(search.found(k, len(parts), digits), search.FOUND_SCHEMA)
     # of equal Source 1 texts, the k smallest ids can be among the best
     nth = F.row_number().over(Window.partitionBy("country", "text_").orderBy("id"))

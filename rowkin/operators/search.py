@@ -19,7 +19,9 @@ MOST_PARTS = 6
 CHUNK_ROWS, CHUNK_CHARS, HELD_CHARS = 2048, 4 << 20, 16 << 20
 #: Source 1 texts of a block, about; grams of a block in the matrix; texts that meet a block in one product.
 BLOCK_ROWS, COLUMNS, PRODUCT_ROWS = 4096, 1024, 256
-CHUNK_SCHEMA = "country string, n_fit long, n_s int, n_r int, grams array<long>, dfs array<long>, ours binary, theirs binary"
+#: Source 1 texts that one task goes through for its chunks, about; a text's k-th score is known from one block to the next.
+TASK_ROWS = 1 << 17
+CHUNK_SCHEMA = "country string, n_fit long, n_s int, n_r int, grams array<struct<gram: long, df: long>>, ours binary, theirs binary"
 FOUND_SCHEMA = "country string, text_ binary, cand_text_ binary, score double, cosines array<double>"
 
 
@@ -89,12 +91,13 @@ def chunk(country: str, rows: list[tuple]) -> dict:
     dfs = np.zeros(before, np.int64)
     np.add.at(dfs, gram, fit[row])
     sides = {name: packed(n > 0, keys, ids, row, gram, tf) for name, n in (("ours", n_s), ("theirs", n_r))}
-    return {"country": country, "n_fit": int(fit.sum()), "n_s": int((n_s > 0).sum()), "n_r": int((n_r > 0).sum()), "grams": np.concatenate(grams), "dfs": dfs, **sides}
+    return {"country": country, "n_fit": int(fit.sum()), "n_s": int((n_s > 0).sum()), "n_r": int((n_r > 0).sum()), "grams": (np.concatenate(grams), dfs), **sides}
 
 
 def chunked(parts: list[str]) -> Callable:
     """For mapInArrow: texts (country, text_, first, n_s, n_r, n_fit, parts) to CHUNK_SCHEMA."""
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+    types = {"country": pa.string(), "n_fit": pa.int64(), "n_s": pa.int32(), "n_r": pa.int32(), "ours": pa.binary(), "theirs": pa.binary()}
+    names = ["country", "n_fit", "n_s", "n_r", "grams", "ours", "theirs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -103,7 +106,9 @@ def chunked(parts: list[str]) -> Callable:
         def out(country: str) -> pa.RecordBatch:
             made = chunk(country, held.pop(country))
             del chars[country]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(made.values(), types, strict=True)], list(made))
+            own = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in made["grams"]], ["gram", "df"])
+            own = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own)
+            return pa.RecordBatch.from_arrays([own if c == "grams" else pa.array([made[c]], types[c]) for c in names], names)
 
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("country", "text_", "first", "n_s", "n_r", "n_fit", *parts)]
@@ -211,7 +216,7 @@ def improve(best: list[list], texts: Texts, block: Block, k: int, n_parts: int,
             bound, scores = high[i, those], []
             order = np.argsort(-bound, kind="stable")
             those, bound, floor = those[order], bound[order], least[i]
-            at, step = 0, 8 * k
+            at, step = 0, k
             while at < len(those) and bound[at] >= floor - 2 * slack:
                 scores.append(sums(block, vector, part, those[at : at + step], n_parts))
                 at, step = at + step, step * 4
@@ -250,12 +255,12 @@ def found(k: int, n_parts: int, digits: int) -> Callable:
                     if at is not None:
                         yield out()
                     at, country = key, batch.column("country")[i].as_py()
-                    texts = Texts(batch.column("theirs")[i].as_py(), batch.column("grams")[i].values.to_numpy(), *known_of(batch.column("known")[i].values), n_parts)
+                    texts = Texts(batch.column("theirs")[i].as_py(), batch.column("grams")[i].values.field("gram").to_numpy(), *known_of(batch.column("known")[i].values), n_parts)
                     best = [[] for _ in texts.keys]
                 members = batch.column("block")[i].values
                 fields = {f: members.field(f) for f in ("ours", "grams", "known")}
                 own = [
-                    Texts(fields["ours"][j].as_py(), fields["grams"][j].values.to_numpy(), *known_of(fields["known"][j].values), n_parts) for j in range(len(members))
+                    Texts(fields["ours"][j].as_py(), fields["grams"][j].values.field("gram").to_numpy(), *known_of(fields["known"][j].values), n_parts) for j in range(len(members))
                 ]
                 improve(best, texts, Block(own), k, n_parts, digits)
         if at is not None:
