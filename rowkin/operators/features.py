@@ -13,7 +13,8 @@ from pyspark.sql import types as T
 
 from rowkin.functions import similarity as sim
 from rowkin.functions import text
-from rowkin.functions.address import address_digest
+from rowkin.functions.address import address_numbers, digest_of
+from rowkin.operators.blocking import staged
 
 # Names and order of the columns
 BASE = (
@@ -170,7 +171,7 @@ def shop_words(s1: DataFrame, records: DataFrame, least: int = SHOP_LEAST, share
 
 def entity_columns(rows: DataFrame, s1: DataFrame, frequency: DataFrame) -> DataFrame:
     """A prepared table with everything that a pair compares, for one side."""
-    rows = rows.withColumn("ad", address_digest(c("business_address")))
+    rows = rows.withColumn("found_", address_numbers(c("business_address"))).withColumn("ad", digest_of(c("found_")))
     rows = with_word_frequency(name_frequency(rows, s1, "n", "freq_n"), frequency)
     raw = c("business_name")
     return rows.select(
@@ -252,15 +253,20 @@ def comparisons(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFram
     """country, rec_id, cand_id and the 78 columns (float) of every pair.
 
     ``pairs``: country, rec_id, cand_id, rank, score, cos_n, cos_a; ``s1`` and ``records``: prepared tables.
+    Entities and ranked pairs are staged: the driver plans small steps, and entities travel to the pairs once, by row number.
     """
-    frequency = word_frequency(s1)
+    frequency = staged(word_frequency(s1))
     n_s1 = s1.groupBy("country").agg(F.count("*").alias("n_s1_"))
     ours = name_frequency(entity_columns(s1, s1, frequency), s1, "core", "freq_core")
     theirs = entity_columns(records, s1, frequency).join(shop_words(s1, records), ["country", "entity_id"])
-    r = theirs.select("country", *[c(x).alias(f"r_{x}") for x in theirs.columns if x != "country"]).withColumnRenamed("r_entity_id", "rec_id")
-    b = ours.select("country", *[c(x).alias(f"c_{x}") for x in ours.columns if x != "country"]).withColumnRenamed("c_entity_id", "cand_id")
-    rows = rank_block(pairs).join(r, ["country", "rec_id"]).join(b, ["country", "cand_id"]).join(n_s1, "country")
-    rows = crowd_block(rows.withColumns({"r_num": c("r_ad.primary_value"), "c_num": c("c_ad.primary_value")}))
+    ours, theirs = (staged(x.withColumn("row", F.monotonically_increasing_id())) for x in (ours, theirs))
+    r = theirs.select(*[c(x).alias(f"r_{x}") for x in theirs.columns]).drop("r_country", "r_entity_id")
+    b = ours.select(*[c(x).alias(f"c_{x}") for x in ours.columns]).drop("c_country", "c_entity_id")
+    r_num, c_num = (
+        x.select("country", c("entity_id").alias(key), c("row").alias(f"{s}_row"), c("ad.primary_value").alias(f"{s}_num")) for x, key, s in ((theirs, "rec_id", "r"), (ours, "cand_id", "c"))
+    )
+    ranked = staged(crowd_block(rank_block(pairs).join(r_num, ["country", "rec_id"]).join(c_num, ["country", "cand_id"])))
+    rows = ranked.join(r, "r_row").join(b, "c_row").join(n_s1, "country")
     own_r, own_c = sim.differing_words(text.words(c("r_n")), text.words(c("c_n")))
     rows = rows.withColumns({"r_own": own_r, "c_own": own_c})
     sides = [F.struct(*[c(f"{s}_{x}").alias(x) for x in ("n", "a", "street", "z", "glued", "label", "own")]) for s in "rc"]

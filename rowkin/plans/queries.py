@@ -676,5 +676,5 @@ def pipeline_search(spark, sf_dir):
     """Shortlist and all comparison columns of the part fixture, as the pipeline makes them."""
     from rowkin.plans import pipeline
 
-    s1, records = map(written, prepared(spark, sf_dir))
-    return features.comparisons(written(pipeline.shortlist(s1, records, 3)), s1, records)
+    s1, records = map(blocking.staged, prepared(spark, sf_dir))
+    return features.comparisons(blocking.staged(pipeline.shortlist(s1, records, 3)), s1, records)
