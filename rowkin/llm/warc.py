@@ -23,6 +23,8 @@ from rowkin.llm._io import new_path, pieces, stage
 LEAST_REVISIT = 100
 #: Records at most this far apart are fetched by one read, and a read ends at about this size.
 MOST_GAP, MOST_READ = 64 << 10, 4 << 20
+#: Stored bytes that one task reads, about; index rows are too small for adaptive execution to deal records out by.
+TASK_BYTES = 32 << 20
 STAMP = "2024-01-01T00:00:00Z"
 INDEX = "archive string, offset long, length long, page_id long, url string, record_type string, payload_digest string, payload_bytes long"
 
@@ -161,7 +163,8 @@ def _read(batches: Iterator[pa.RecordBatch], folder: str, payloads: bool) -> Ite
                 block = handle.read_at(end - start, start)
                 rows = []
                 for i in found:
-                    headers, payload = parse(block[offsets[at + i] - start :][: lengths[at + i]])
+                    begin = offsets[at + i] - start
+                    headers, payload = parse(block[begin : begin + lengths[at + i]])
                     stored = headers["WARC-Type"] == "response"
                     digest = hashlib.sha256(payload).hexdigest() if stored else headers["WARC-Payload-Digest"].removeprefix("sha256:")
                     size = len(payload) if stored else int(headers["X-Payload-Length"])
@@ -180,5 +183,6 @@ def read(folder: str, selected: DataFrame, payloads: bool = False) -> DataFrame:
     A revisit has no payload of its own: its size and digest are those its header states.
     """
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
-    by_place = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    tasks = -(-(selected.agg(F.sum("length")).first()[0] or 1) // TASK_BYTES)
+    by_place = selected.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return by_place.mapInArrow(lambda it: _read(it, folder, payloads), schema)
