@@ -1,11 +1,15 @@
 """The 78 comparison columns of a shortlisted pair, in three groups: base, extra and sharp.
 
-Entity columns (parsed addresses, word frequencies, flags) are computed once per entity, joined to the pairs by key, and
-compared in expressions; one Arrow-batched function computes all string similarities of a pair in a single crossing.
+Entity columns (parsed addresses, word frequencies, flags) are computed once per distinct content of an entity, joined to distinct
+pairs of contents by key, and compared in expressions; one Arrow-batched function computes all string similarities of a pair in a
+single crossing. Entities of one content share its comparisons; what depends on a pair's rank stays with the pair.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,6 +37,8 @@ SHARP = (
 ).split()
 FEATURES = BASE + EXTRA + SHARP
 SHOP_LEAST, SHOP_SHARE = 20, 0.00015
+#: What an entity's columns are made of; entities that have it in common are compared once.
+CONTENT = "country business_name business_address n a core nums".split()
 NOT_APPLICABLE = -1.0
 
 
@@ -137,42 +143,59 @@ def crowd_block(pairs: DataFrame) -> DataFrame:
 # ---- columns of entities
 
 
-def word_frequency(s1: DataFrame) -> DataFrame:
+def content_key() -> Column:
+    return F.unhex(F.sha2(F.to_json(F.struct(*CONTENT)), 256))
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """Distinct contents of a prepared table: the columns of CONTENT, entity_id (the content's key) and copies (rows that have it)."""
+    return rows.groupBy(*CONTENT).agg(F.count("*").alias("copies")).withColumn("entity_id", content_key())
+
+
+def total(copies: str | None) -> Column:
+    """Rows of a group, or the sum of their column ``copies``."""
+    return F.sum(copies) if copies else F.count("*")
+
+
+def name_words(rows: DataFrame, *kept: str | None) -> DataFrame:
+    """country, ``kept`` columns and word: a row for each distinct word of a name."""
+    return rows.select("country", *filter(None, kept), F.explode(F.array_distinct(text.words(c("n")))).alias("word"))
+
+
+def word_frequency(s1: DataFrame, copies: str | None = None) -> DataFrame:
     """country, word, df: Source 1 names that hold each word."""
-    words = s1.select("country", F.explode(F.array_distinct(text.words(c("n")))).alias("word"))
-    return words.groupBy("country", "word").agg(F.count("*").alias("df"))
+    return name_words(s1, copies).groupBy("country", "word").agg(total(copies).alias("df"))
 
 
 def with_word_frequency(rows: DataFrame, frequency: DataFrame) -> DataFrame:
     """Add w_df: map from a name's words to their Source 1 document frequency."""
-    words = rows.select("country", "entity_id", F.explode(F.array_distinct(text.words(c("n")))).alias("word"))
-    found = words.join(frequency, ["country", "word"], "left").groupBy("country", "entity_id")
+    found = name_words(rows, "entity_id").join(frequency, ["country", "word"], "left").groupBy("country", "entity_id")
     maps = found.agg(F.map_from_entries(F.collect_list(F.struct("word", F.coalesce("df", F.lit(0)).alias("df")))).alias("w_df"))
     empty = F.create_map().cast("map<string,bigint>")
     return rows.join(maps, ["country", "entity_id"], "left").withColumn("w_df", F.coalesce("w_df", empty))
 
 
-def name_frequency(rows: DataFrame, s1: DataFrame, column: str, out: str) -> DataFrame:
+def name_frequency(rows: DataFrame, s1: DataFrame, column: str, out: str, copies: str | None = None) -> DataFrame:
     """Add ``out``: how many Source 1 rows of the country have the row's value of ``column``."""
-    counts = s1.groupBy("country", column).agg(F.count("*").alias(out))
+    counts = s1.groupBy("country", column).agg(total(copies).alias(out))
     return rows.join(counts, ["country", column], "left").na.fill(0, [out])
 
 
-def shop_words(s1: DataFrame, records: DataFrame, least: int = SHOP_LEAST, share: float = SHOP_SHARE) -> DataFrame:
+def shop_words(s1: DataFrame, records: DataFrame, least: int = SHOP_LEAST, share: float = SHOP_SHARE, copies: str | None = None) -> DataFrame:
     """country, entity_id, shop_words: a record's name words that no Source 1 name has but many records have."""
-    words = records.select("country", "entity_id", F.explode(F.array_distinct(text.words(c("n")))).alias("word"))
-    n = records.groupBy("country").agg(F.count("*").alias("n_"))
-    often = words.groupBy("country", "word").agg(F.count("*").alias("df")).join(n, "country")
+    words = name_words(records, "entity_id", copies)
+    n = records.groupBy("country").agg(total(copies).alias("n_"))
+    often = words.groupBy("country", "word").agg(total(copies).alias("df")).join(n, "country")
     often = often.filter(c("df") >= F.greatest(F.lit(float(least)), share * c("n_"))).select("country", "word")
     shop = often.join(word_frequency(s1).select("country", "word"), ["country", "word"], "left_anti")
     hits = words.join(shop, ["country", "word"], "left_semi").groupBy("country", "entity_id").agg(F.count("*").alias("shop_words"))
     return records.select("country", "entity_id").join(hits, ["country", "entity_id"], "left").na.fill(0, ["shop_words"])
 
 
-def entity_columns(rows: DataFrame, s1: DataFrame, frequency: DataFrame) -> DataFrame:
+def entity_columns(rows: DataFrame, s1: DataFrame, frequency: DataFrame, copies: str | None = None) -> DataFrame:
     """A prepared table with everything that a pair compares, for one side."""
-    rows = rows.withColumn("found_", address_numbers(c("business_address"))).withColumn("ad", digest_of(c("found_")))
-    rows = with_word_frequency(name_frequency(rows, s1, "n", "freq_n"), frequency)
+    rows = rows.withColumn("found_", address_numbers(c("business_address"))).withColumn("ad", digest_of(c("found_")).dropFields("numbers"))
+    rows = with_word_frequency(name_frequency(rows, s1, "n", "freq_n", copies), frequency)
     raw = c("business_name")
     return rows.select(
         "country", "entity_id", "n", "a", "core", "nums", "ad", "w_df", "freq_n", text.family_street(c("a")).alias("street"), text.unpadded(c("a")).alias("z"),
@@ -197,20 +220,45 @@ PAIR_SCORES = T.StructType(
 )
 
 
-def pair_scores(r: dict, b: dict) -> tuple:
-    """String kernels of one pair; ``r`` and ``b`` hold each side's n, a, street, z, glued, label and own (words the other lacks)."""
-    left_r, left_b, fuzzy, shortened = sim.align(r["n"].split(), b["n"].split())
-    labels = [sim.partial_ratio(x["label"], y["glued"]) if x["label"] else -1.0 for x, y in ((r, b), (b, r))]
-    kernels = [(sim.cached_ratio, "n"), (sim.token_set_ratio, "n"), (sim.partial_ratio, "n"), (sim.jaro_winkler, "n"), (sim.cached_ratio, "a"), (sim.token_set_ratio, "a")]
-    kernels += [(sim.token_set_ratio, "street"), (sim.cached_ratio, "z"), (sim.token_set_ratio, "z"), (sim.cached_ratio, "glued")]
-    alike = max(((sim.cached_ratio(x, y), x, y) for x in r["own"] for y in b["own"]), default=(None, None, None))
-    return (*(kernel(r[side], b[side]) for kernel, side in kernels), max(labels), float(fuzzy), float(shortened), left_r, left_b, *alike)
+#: What the kernels take of each side: a name with its web label and words the other lacks, and an address.
+NAME, ADDRESS = ("n", "glued", "label", "own"), ("a", "street", "z")
+REMEMBERED, REMEMBERED_CHARS = 1 << 14, 1024
+
+
+def remembered(kernel: Callable) -> Callable:
+    """The kernel, with the latest results for short texts kept: names and addresses recur in pairs that differ in the other."""
+    cached = lru_cache(REMEMBERED)(kernel)
+    return lambda r, b: (cached if len(r[0]) + len(b[0]) <= REMEMBERED_CHARS else kernel)(r, b)
+
+
+@remembered
+def name_scores(r: tuple, b: tuple) -> tuple:
+    """ratio, token set, partial, Jaro-Winkler, glued, label, fuzzy and shortened pairs, left words, best differing words of two names (NAME)."""
+    (n, glued, label, own), (n_b, glued_b, label_b, own_b) = r, b
+    left_r, left_b, fuzzy, shortened = sim.align(n.split(), n_b.split())
+    labels = [sim.partial_ratio(x, y) if x else -1.0 for x, y in ((label, glued_b), (label_b, glued))]
+    alike = max(((sim.cached_ratio(x, y), x, y) for x in own for y in own_b), default=(None, None, None))
+    kernels = (sim.ratio(n, n_b), sim.token_set_ratio(n, n_b), sim.partial_ratio(n, n_b), sim.jaro_winkler(n, n_b))
+    return kernels, (sim.ratio(glued, glued_b), max(labels), float(fuzzy), float(shortened), left_r, left_b, *alike)
+
+
+@remembered
+def address_scores(r: tuple, b: tuple) -> tuple:
+    """ratio and token set of two addresses (ADDRESS), token set of their streets, ratio and token set without leading zeros."""
+    (a, street, z), (a_b, street_b, z_b) = r, b
+    return sim.ratio(a, a_b), sim.token_set_ratio(a, a_b), sim.token_set_ratio(street, street_b), sim.ratio(z, z_b), sim.token_set_ratio(z, z_b)
+
+
+def pair_scores(name_r: tuple, address_r: tuple, name_b: tuple, address_b: tuple) -> tuple:
+    """String kernels of one pair, in the order of PAIR_SCORES."""
+    first, last = name_scores(name_r, name_b)
+    return *first, *address_scores(address_r, address_b), *last
 
 
 @F.pandas_udf(PAIR_SCORES)
 def _pair_scores(r: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-    rows = [pair_scores(x, y) for x, y in zip(r.to_dict("records"), b.to_dict("records"), strict=True)]
-    return pd.DataFrame(rows, columns=PAIR_SCORES.names)
+    sides = [zip(*(map(tuple, d[x]) if x == "own" else d[x] for x in part), strict=True) for d in (r, b) for part in (NAME, ADDRESS)]
+    return pd.DataFrame([pair_scores(*x) for x in zip(*sides, strict=True)], columns=PAIR_SCORES.names)
 
 
 def differing_block(x: Column, y: Column, own_r: Column, own_c: Column, ratio: Column) -> dict[str, Column]:
@@ -253,38 +301,53 @@ def comparisons(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFram
     """country, rec_id, cand_id and the 78 columns (float) of every pair.
 
     ``pairs``: country, rec_id, cand_id, rank, score, cos_n, cos_a; ``s1`` and ``records``: prepared tables.
-    Entities and ranked pairs are staged: the driver plans small steps, and entities travel to the pairs once, by row number.
+    Contents, ranked pairs and compared pairs of contents are staged: the driver plans small steps, and contents travel to their
+    distinct pairs once, by row number.
     """
-    frequency = staged(word_frequency(s1))
-    n_s1 = s1.groupBy("country").agg(F.count("*").alias("n_s1_"))
-    ours = name_frequency(entity_columns(s1, s1, frequency), s1, "core", "freq_core")
-    theirs = entity_columns(records, s1, frequency).join(shop_words(s1, records), ["country", "entity_id"])
+    s1_rows, record_rows = s1, records
+    s1, records = staged(contents(s1)), staged(contents(records))
+    frequency = staged(word_frequency(s1, "copies"))
+    n_s1 = s1.groupBy("country").agg(F.sum("copies").alias("n_s1"))
+    ours = name_frequency(entity_columns(s1, s1, frequency, "copies"), s1, "core", "freq_core", "copies").join(n_s1, "country")
+    theirs = entity_columns(records, s1, frequency, "copies").join(shop_words(s1, records, copies="copies"), ["country", "entity_id"])
     ours, theirs = (staged(x.withColumn("row", F.monotonically_increasing_id())) for x in (ours, theirs))
+
+    def numbered(rows: DataFrame, made: DataFrame, key: str, s: str) -> DataFrame:
+        own = rows.select("country", c("entity_id").alias(key), content_key().alias("key_"))
+        return own.join(made.select(c("entity_id").alias("key_"), c("row").alias(f"{s}_row"), c("ad.primary_value").alias(f"{s}_num")), "key_").drop("key_")
+
+    r_num, c_num = numbered(record_rows, theirs, "rec_id", "r"), numbered(s1_rows, ours, "cand_id", "c")
+    ranked = staged(crowd_block(rank_block(pairs).join(r_num, ["country", "rec_id"]).join(c_num, ["country", "cand_id"])))
+    compared = staged(content_comparisons(ranked.select("r_row", "c_row").distinct(), theirs, ours))
+    made = {
+        "score": c("score"), "rank": c("rank"), "gap_top1": c("gap_top1"), "margin12": c("margin12"), "cos_name": c("cos_n"), "cos_addr": c("cos_a"),
+        "in_degree": c("in_degree"), "best_for_cand": number(c("best_for_cand")), "is_s3": number(c("rec_id").startswith("S3")),
+        **{x: c(x) for x in ("grp_share_rec_num", "grp_share_biz_num", "grp_biz_is_majority", "grp_distinct_nums", "grp_rank")},
+    }
+    rows = ranked.join(compared, ["r_row", "c_row"])
+    return rows.select("country", "rec_id", "cand_id", *[(made[f].cast("float") if f in made else c(f)).alias(f) for f in FEATURES])
+
+
+def content_comparisons(pairs: DataFrame, theirs: DataFrame, ours: DataFrame) -> DataFrame:
+    """r_row, c_row and the columns (float) that follow from the contents of a pair alone; ``theirs`` and ``ours``: entity columns and row."""
     r = theirs.select(*[c(x).alias(f"r_{x}") for x in theirs.columns]).drop("r_country", "r_entity_id")
     b = ours.select(*[c(x).alias(f"c_{x}") for x in ours.columns]).drop("c_country", "c_entity_id")
-    r_num, c_num = (
-        x.select("country", c("entity_id").alias(key), c("row").alias(f"{s}_row"), c("ad.primary_value").alias(f"{s}_num")) for x, key, s in ((theirs, "rec_id", "r"), (ours, "cand_id", "c"))
-    )
-    ranked = staged(crowd_block(rank_block(pairs).join(r_num, ["country", "rec_id"]).join(c_num, ["country", "cand_id"])))
-    rows = ranked.join(r, "r_row").join(b, "c_row").join(n_s1, "country")
+    rows = pairs.join(r, "r_row").join(b, "c_row")
     own_r, own_c = sim.differing_words(text.words(c("r_n")), text.words(c("c_n")))
     rows = rows.withColumns({"r_own": own_r, "c_own": own_c})
-    sides = [F.struct(*[c(f"{s}_{x}").alias(x) for x in ("n", "a", "street", "z", "glued", "label", "own")]) for s in "rc"]
+    sides = [F.struct(*[c(f"{s}_{x}").alias(x) for x in (*NAME, *ADDRESS)]) for s in "rc"]
     rows = rows.withColumn("ps", _pair_scores(*sides))
 
     def rarity(df: Column) -> Column:
-        return F.log(c("n_s1_") / (1 + df))
+        return F.log(c("c_n_s1") / (1 + df))
 
     def rarest(left: Column, freq: Column) -> Column:
         return where(F.size(left) > 0, rarity(F.array_min(F.transform(left, lambda w: F.element_at(freq, w)))))
 
     r_df, c_df, found = c("r_w_df"), c("c_w_df"), c("ps.dw_r").isNotNull()
     made = {
-        "score": c("score"), "rank": c("rank"), "gap_top1": c("gap_top1"), "margin12": c("margin12"), "cos_name": c("cos_n"), "cos_addr": c("cos_a"),
-        "core_equal": number(c("r_core") == c("c_core")), "in_degree": c("in_degree"), "best_for_cand": number(c("best_for_cand")),
-        "is_s3": number(c("rec_id").startswith("S3")), "addr_missing": number(c("r_no_address")), "name_no_latin": number(c("r_no_latin")), "name_len": c("r_raw_len"),
+        "core_equal": number(c("r_core") == c("c_core")), "addr_missing": number(c("r_no_address")), "name_no_latin": number(c("r_no_latin")), "name_len": c("r_raw_len"),
         **number_block(c("r_nums"), c("c_nums")), **house_number_block(), **legal_block(c("r_forms"), c("c_forms")),
-        **{x: c(x) for x in ("grp_share_rec_num", "grp_share_biz_num", "grp_biz_is_majority", "grp_distinct_nums", "grp_rank")},
         "freq_name_biz": F.log1p(c("c_freq_n")), "freq_name_rec": F.log1p(c("r_freq_n")), "freq_core_biz": where(c("c_core") != "", F.log1p(c("c_freq_core"))),
         "freq_rarest_shared": rarest_shared(r_df, c_df), "left_rec_n": F.size("ps.left_r"), "left_biz_n": F.size("ps.left_c"),
         "left_rec_rarest": rarest(c("ps.left_r"), r_df), "left_biz_rarest": rarest(c("ps.left_c"), c_df),
@@ -294,4 +357,4 @@ def comparisons(pairs: DataFrame, s1: DataFrame, records: DataFrame) -> DataFram
         "dw_rarity_biz": where(found, rarity(F.element_at(c_df, c("ps.dw_c")))), "dw_rarity_rec": where(found, rarity(F.element_at(r_df, c("ps.dw_r")))),
         "shop_words": c("r_shop_words"),
     }
-    return rows.select("country", "rec_id", "cand_id", *[made[f].cast("float").alias(f) for f in FEATURES])
+    return rows.select("r_row", "c_row", *[x.cast("float").alias(f) for f, x in made.items()])
