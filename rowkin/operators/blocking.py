@@ -101,6 +101,8 @@ def shortlist(s1: DataFrame, records: DataFrame, parts: list[str], k: int = 3, s
     texts = every.groupBy("country", "text_", *parts).agg(
         F.min(F.when(F.col("ours_"), F.col("id"))).alias("first"), F.count_if("ours_").alias("n_s"), F.count_if(~F.col("ours_")).alias("n_r"), F.sum("fit_").alias("n_fit")
     )
+    if len(parts) > 1:  # texts in order: a chunk or block then holds few distinct first parts, most of them too unlike to meet in full
+        texts = texts.repartitionByRange("country", *parts).sortWithinPartitions("country", *parts)
     chunks = staged(texts.mapInArrow(search.chunked(parts), search.CHUNK_SCHEMA).withColumn("chunk", F.monotonically_increasing_id()))
     grams = chunks.select("country", "chunk", F.inline("grams"))
     n = chunks.groupBy("country").agg(F.sum("n_fit").alias("n"))
